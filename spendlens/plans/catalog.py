@@ -38,3 +38,36 @@ def q_txn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "is_new_merchant", "day_of_week", "is_weekend",
         F.col("cat_n").alias("prior_category_n"), F.col("mer_n").alias("prior_merchant_n"),
         "reason_code", "typical_amount", "multiple"))
+
+
+# ---------------------------------------------------------------- statements
+from spendlens.operators.statement import first_uploads, import_summary, parse_rows  # noqa: E402
+
+
+def _parsed_statements(spark, sf_dir):
+    return parse_rows(views.raw_statement_cells(spark, sf_dir))
+
+
+@register("statement_rows")
+def q_statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw row parsed, with its error or its content hash."""
+    return rounded(_parsed_statements(spark, sf_dir).select(
+        "user_id", "file_id", "row_num", "transaction_date", "description", "merchant", "amount",
+        "transaction_type", "currency", "reference", "error", "content_hash"))
+
+
+@register("import_summary")
+def q_import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-file counts, status and the first 50 errors."""
+    s = import_summary(_parsed_statements(spark, sf_dir), ["user_id", "file_id"])
+    errs = F.array_join(F.transform("errors", lambda e: F.concat(
+        e["row"].cast("string"), F.lit(":"), e["message"])), " | ")
+    return s.select("user_id", "file_id", "total_rows", "imported_rows", "failed_rows", "status",
+                    F.when(F.size("errors") > 0, errs).alias("first_errors"))
+
+
+@register("duplicate_uploads")
+def q_duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-file duplicates per (user, sha256) rejected, earliest upload wins."""
+    return first_uploads(views.uploads(spark, sf_dir)).select(
+        "file_seq", "user_id", "file_hash", "accepted", "duplicate_of")

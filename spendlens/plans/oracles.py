@@ -47,3 +47,79 @@ select transaction_id, user_id, round(log_amount, 6) as log_amount, round(cz, 6)
   round(case code when 'category_spike' then cmean when 'merchant_spike' then mmean end, 6) as typical_amount,
   round(case when code = 'category_spike' then amount / cmean end, 6) as multiple
 from r"""
+
+_STATEMENT = duckdb_with("raw_statement") + r"""
+, c as (
+  select user_id, file_id, row_key, layout, trim(date_raw) as d, trim(desc_raw) as ds,
+    case when layout <> 1 then amt_raw end as amount_cell,
+    case when layout = 1 then (case when row_key % 2 = 1 then amt_raw else '' end) end as debit_cell,
+    case when layout = 1 then (case when row_key % 2 = 0 then amt_raw else '' end) end as credit_cell,
+    case when layout in (0, 3) then type_raw end as type_cell,
+    case when layout = 3 then merchant_raw end as merchant_cell,
+    row_number() over (partition by user_id, file_id order by row_key) + 1 as row_num
+  from raw_statement),
+k as (
+  select *,
+    replace(replace(replace(trim(coalesce(amount_cell, '')), ',', ''), '₹', ''), '$', '') as a_s,
+    replace(replace(replace(trim(coalesce(debit_cell, '')), ',', ''), '₹', ''), '$', '') as d_s,
+    replace(replace(replace(trim(coalesce(credit_cell, '')), ',', ''), '₹', ''), '$', '') as c_s,
+    try_strptime(regexp_replace(d, ' +', ' ', 'g'),
+      ['%Y-%m-%d','%d/%m/%Y','%m/%d/%Y','%d-%m-%Y','%Y/%m/%d','%d %b %Y','%d-%b-%Y']) as dt
+  from c),
+v as (
+  select *,
+    case when regexp_full_match(a_s, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') then try_cast(trim(a_s) as double) end as a_v,
+    coalesce(case when regexp_full_match(d_s, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') then try_cast(trim(d_s) as double) end, 0) as d_v,
+    coalesce(case when regexp_full_match(c_s, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') then try_cast(trim(c_s) as double) end, 0) as c_v
+  from k),
+t as (
+  select *,
+    case when layout = 1 then (case when d_v <> 0 then abs(d_v) when c_v <> 0 then abs(c_v) end)
+         else abs(a_v) end as amt,
+    case when layout = 1 then (case when d_v <> 0 then 'debit' when c_v <> 0 then 'credit' end)
+         when a_v is null then null
+         when layout in (0, 3) then (case when lower(trim(type_cell)) in ('credit', 'cr', 'c') then 'credit' else 'debit' end)
+         else (case when a_v > 0 then 'credit' else 'debit' end) end as ttype
+  from v),
+e as (
+  select *,
+    case when d = '' then 'Missing transaction date'
+         when ds = '' then 'Missing description'
+         when dt is null then 'Unrecognized date format: ''' || d || ''''
+         when layout <> 1 and a_v is null then 'Unrecognized amount value: ''' || amount_cell || ''''
+         when amt is null or ttype is null then 'Could not determine a valid amount and transaction type for this row'
+         when amt = 0 then 'Transaction amount is zero' end as error
+  from t),
+rows as (
+  select user_id, file_id, cast(row_num as int) as row_num,
+    case when error is null then dt end as transaction_date,
+    case when error is null then ds end as description,
+    case when error is null and layout = 3 then nullif(trim(merchant_cell), '') end as merchant,
+    case when error is null then round(amt, 6) end as amount,
+    case when error is null then ttype end as transaction_type,
+    case when error is null then 'INR' end as currency,
+    cast(null as varchar) as reference, error,
+    case when error is null then sha256(concat_ws('|', user_id::varchar, strftime(dt, '%Y-%m-%dT%H:%M:%S'),
+         ds, amt::varchar, ttype)) end as content_hash
+  from e)
+"""
+
+ORACLES["statement_rows"] = _STATEMENT + "select * from rows"
+
+ORACLES["import_summary"] = _STATEMENT + """
+, ranked as (select *, row_number() over (partition by user_id, file_id order by row_num) as rk
+             from rows where error is not null)
+select r.user_id, r.file_id, count(*) as total_rows,
+  count(*) filter (where r.error is null) as imported_rows,
+  count(*) filter (where r.error is not null) as failed_rows,
+  case when count(*) filter (where r.error is null) = 0 then 'failed'
+       when count(*) filter (where r.error is not null) > 0 then 'partial' else 'completed' end as status,
+  (select string_agg(x.row_num || ':' || x.error, ' | ' order by x.row_num) from ranked x
+    where x.user_id = r.user_id and x.file_id = r.file_id and x.rk <= 50) as first_errors
+from rows r group by r.user_id, r.file_id"""
+
+ORACLES["duplicate_uploads"] = duckdb_with("uploads") + """
+select file_seq, user_id, file_hash,
+  row_number() over w = 1 as accepted,
+  case when row_number() over w > 1 then first_value(file_seq) over w end as duplicate_of
+from uploads window w as (partition by user_id, file_hash order by file_seq)"""

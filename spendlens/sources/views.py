@@ -221,3 +221,41 @@ VIEWS = {
 }
 
 __all__ = ["VIEWS", "DUCKDB_VIEWS", "duckdb_with", "Window"]
+
+
+# header of each raw_statement layout (FIXTURES.md): 0 = date,description,amount,type;
+# 1 = transaction_date,narration,debit,credit; 2 = date,description,amount; 3 = 0 + merchant
+_LAYOUT_HEADERS = {
+    0: ["date", "description", "amount", "type"],
+    1: ["transaction_date", "narration", "debit", "credit"],
+    2: ["date", "description", "amount"],
+    3: ["date", "description", "amount", "type", "merchant"],
+}
+
+
+def raw_statement_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_statement as parser input: ``header`` + ``raw`` map + row number in file.
+
+    Row numbers follow the file order (row_key) starting at 2, computed with
+    the skew-safe running rank (one user's file may be huge)."""
+    r = raw_statement(spark, sf_dir)
+    odd = _mod("row_key", 2) == 1
+    cells = {
+        0: [F.col("date_raw"), F.col("desc_raw"), F.col("amt_raw"), F.col("type_raw")],
+        1: [F.col("date_raw"), F.col("desc_raw"), F.when(odd, F.col("amt_raw")).otherwise(F.lit("")),
+            F.when(odd, F.lit("")).otherwise(F.col("amt_raw"))],
+        2: [F.col("date_raw"), F.col("desc_raw"), F.col("amt_raw")],
+        3: [F.col("date_raw"), F.col("desc_raw"), F.col("amt_raw"), F.col("type_raw"),
+            F.col("merchant_raw")],
+    }
+    header = values = None
+    for k in sorted(_LAYOUT_HEADERS):
+        h = F.array(*[F.lit(x) for x in _LAYOUT_HEADERS[k]])
+        v = F.array(*cells[k])
+        header = F.when(F.col("layout") == k, h) if header is None else header.when(F.col("layout") == k, h)
+        values = F.when(F.col("layout") == k, v) if values is None else values.when(F.col("layout") == k, v)
+    r = r.select("user_id", "file_id", "row_key", header.alias("header"),
+                 F.map_from_arrays(header, values).alias("raw"))
+    r = running_row_number(r, ["user_id", "file_id"], ["row_key"],
+                           F.floor(F.col("row_key") / F.lit(VERSION_BUCKET)), "pos_in_file")
+    return r.withColumn("row_num", (F.col("pos_in_file") + 1).cast("int")).drop("pos_in_file")
