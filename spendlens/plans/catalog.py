@@ -71,3 +71,75 @@ def q_duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-file duplicates per (user, sha256) rejected, earliest upload wins."""
     return first_uploads(views.uploads(spark, sf_dir)).select(
         "file_seq", "user_id", "file_hash", "accepted", "duplicate_of")
+
+
+# ---------------------------------------------------------------- text classification
+from spendlens.operators import textclass as tc  # noqa: E402
+
+
+def _text(spark, sf_dir):
+    return tc.prepare(views.labelled_text(spark, sf_dir)).withColumn("is_test", tc.split_flag("id"))
+
+
+def _nb(spark, sf_dir):
+    d = _text(spark, sf_dir)
+    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    model = tc.fit_naive_bayes(train)
+    pred = tc.predict_naive_bayes(model, test).join(
+        test.select("id", F.col("category").alias("truth")), "id")
+    return pred
+
+
+@register("text_terms")
+def q_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 + M1: cleaned description and 1-2-gram term counts per document (whole texts)."""
+    d = _text(spark, sf_dir)
+    return d.select("id", "clean_description",
+                    F.size(F.filter("terms", lambda t: ~t.contains(" "))).cast("bigint").alias("n_unigrams"),
+                    F.size("terms").cast("bigint").alias("n_terms"))
+
+
+@register("text_split")
+def q_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: deterministic 80/20 split (seed 42)."""
+    return views.labelled_text(spark, sf_dir).select("id", "category", tc.split_flag("id").alias("is_test"))
+
+
+@register("class_balance")
+def q_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + A13: sorted labels of the train split with balanced class weights."""
+    train = _text(spark, sf_dir).where(~F.col("is_test"))
+    return rounded(tc.class_table(train).select("category", F.col("n_c").cast("bigint").alias("n_c"),
+                                                "weight"))
+
+
+@register("tfidf_weights")
+def q_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: smoothed-idf TF-IDF, L2-normalised, fitted and applied on the train split."""
+    train = _text(spark, sf_dir).where(~F.col("is_test"))
+    tf = tc.term_counts(train)
+    return rounded(tc.tfidf(tf, tc.fit_idf(tf, train)))
+
+
+@register("nb_predictions")
+def q_nb_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes fitted on train, class + confidence for each test document."""
+    return rounded(_nb(spark, sf_dir).select("id", "truth", "predicted", "confidence"))
+
+
+@register("nb_confusion")
+def q_nb_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion matrix in long form."""
+    return tc.confusion(_nb(spark, sf_dir)).withColumn("n", F.col("n").cast("bigint"))
+
+
+@register("nb_metrics")
+def q_nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro precision / recall / F1."""
+    return rounded(tc.macro_metrics(tc.confusion(_nb(spark, sf_dir))))
+
+
+@register("nb_report")
+def q_nb_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification report rows."""
+    return rounded(tc.classification_report(tc.confusion(_nb(spark, sf_dir))))

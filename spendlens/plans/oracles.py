@@ -123,3 +123,85 @@ select file_seq, user_id, file_hash,
   row_number() over w = 1 as accepted,
   case when row_number() over w > 1 then first_value(file_seq) over w end as duplicate_of
 from uploads window w as (partition by user_id, file_hash order by file_seq)"""
+
+_TEXT = duckdb_with("labelled_text") + r"""
+, clean as (
+  select id, category,
+    array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(description),
+      '\b\d{4,}\b', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+'),
+      lambda x: x <> '' and x not in ('upi','pos','neft','imps','ref','txn','wdl','no')), ' ') as clean_description,
+    (('0x' || substr(md5(id::varchar || '|42'), 1, 8))::bigint % 5) = 0 as is_test
+  from labelled_text),
+toks as (select *, list_filter(string_split(clean_description, ' '), lambda x: length(x) >= 2) as u from clean),
+docs as (select id, category, is_test, clean_description, len(u) as n_u,
+           u || [u[i] || ' ' || u[i + 1] for i in range(1, len(u))] as terms from toks),
+tf as (select id, term, count(*) as tf from (select id, unnest(terms) as term from docs) group by id, term),
+train_n as (select count(*) as n from docs where not is_test),
+idf as (select term, ln((1 + (select n from train_n)) / (1 + count(*))) + 1 as idf
+        from tf where id in (select id from docs where not is_test) group by term),
+w as (select tf.id, tf.term, tf.tf * idf.idf as w from tf join idf using (term)),
+x as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as weight from w),
+train_x as (select x.*, d.category from x join docs d using (id) where not d.is_test),
+fc as (select category, term, sum(weight) as fc from train_x group by category, term),
+cls as (select category, count(*) as n_c from docs where not is_test group by category),
+vocab as (select count(*) as v from idf),
+cls2 as (select c.category, ln(c.n_c / (select sum(n_c) from cls)) as log_prior,
+           ln(coalesce((select sum(fc) from fc f where f.category = c.category), 0) + (select v from vocab)) as log_norm
+         from cls c),
+test_docs as (select id, category as truth from docs where is_test),
+jll as (
+  select t.id, c.category,
+    c.log_prior + coalesce((select sum(x.weight * (ln(coalesce(f.fc, 0) + 1) - c.log_norm))
+                            from x left join fc f on f.term = x.term and f.category = c.category
+                            where x.id = t.id), 0) as j
+  from test_docs t, cls2 c),
+best as (
+  select id, arg_min(category, struct_pack(neg := -j, cat := category)) as predicted
+  from jll group by id),
+conf as (
+  select id, 1.0 / sum(exp(j - mx)) as confidence from (
+    select id, j, max(j) over (partition by id) as mx from jll) group by id),
+pred as (select t.id, t.truth, b.predicted, c.confidence from test_docs t join best b using (id) join conf c using (id))
+"""
+
+ORACLES["text_terms"] = _TEXT + """
+select id, clean_description, cast(n_u as bigint) as n_unigrams, cast(len(terms) as bigint) as n_terms from docs"""
+
+ORACLES["text_split"] = _TEXT + "select id, category, is_test from docs"
+
+ORACLES["class_balance"] = _TEXT + """
+select category, n_c, round((select sum(n_c) from cls) / ((select count(*) from cls) * n_c), 6) as weight from cls"""
+
+ORACLES["tfidf_weights"] = _TEXT + """
+select id, term, round(weight, 6) as weight from x where id in (select id from docs where not is_test)"""
+
+ORACLES["nb_predictions"] = _TEXT + """
+select id, truth, predicted, round(confidence, 6) as confidence from pred"""
+
+_LABELS = """
+, lab as (
+  select label, coalesce(tp, 0)::double as tp, coalesce(support, 0)::double as support,
+         coalesce(pn, 0)::double as pn
+  from (select truth as label, count(*) as support, count(*) filter (where truth = predicted) as tp from pred group by truth) a
+  full outer join (select predicted as label, count(*) as pn from pred group by predicted) b using (label)),
+m as (
+  select label, support, tp,
+    case when pn > 0 then tp / pn else 0 end as precision,
+    case when support > 0 then tp / support else 0 end as recall,
+    case when tp + pn + support > 0 then 2 * tp / (pn + support) else 0 end as f1
+  from lab)
+"""
+
+ORACLES["nb_confusion"] = _TEXT + "select truth, predicted, count(*) as n from pred group by truth, predicted"
+
+ORACLES["nb_metrics"] = _TEXT + _LABELS + """
+select round(sum(tp) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1,
+  round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall from m"""
+
+ORACLES["nb_report"] = _TEXT + _LABELS + """
+select label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1,
+  cast(support as bigint) as support from m
+union all select 'accuracy', null, null, round(sum(tp) / sum(support), 6), cast(sum(support) as bigint) from m
+union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from m
+union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from m"""
