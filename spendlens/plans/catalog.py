@@ -143,3 +143,77 @@ def q_nb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_nb_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification report rows."""
     return rounded(tc.classification_report(tc.confusion(_nb(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- anomaly detection
+from spendlens.operators.evaluation import binary_metrics  # noqa: E402
+from spendlens.plans import detect as det  # noqa: E402
+from spendlens.functions.scalar import severity  # noqa: E402
+
+
+def _trained(spark, sf_dir):
+    feat = det.feature_table(views.txn_star(spark, sf_dir), extra=["is_injected_anomaly"])
+    model, train_scored = det.train_detector(feat)
+    return feat, model, train_scored
+
+
+@register("forest_scores")
+def q_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolation forest fitted on all transactions' features; score,
+    decision (score - offset) and flag for every transaction."""
+    feat, model, scored = _trained(spark, sf_dir)
+    return scored.select("transaction_id", "user_id", "score", "decision",
+                         (F.col("decision") < 0).alias("is_anomaly"))
+
+
+@register("forest_train_metrics")
+def q_forest_train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 on the training run: precision / recall / F1 against injected anomalies."""
+    feat, model, scored = _trained(spark, sf_dir)
+    return binary_metrics(scored.withColumn("pred", (F.col("decision") < 0).cast("int")),
+                          "is_injected_anomaly", "pred")
+
+
+@register("detect_anomalies")
+def q_detect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection for every user with enough history: flag, per-user
+    normalised score, severity and one explanation per flagged transaction."""
+    feat, model, _ = _trained(spark, sf_dir)
+    return det.detect(feat, model).drop("decision")
+
+
+@register("detect_summary")
+def q_detect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + F12: per-user scan status, message and counts."""
+    txn = views.txn_star(spark, sf_dir)
+    feat, model, _ = _trained(spark, sf_dir)
+    return det.scan_summary(txn, det.detect(feat, model))
+
+
+@register("history_gate")
+def q_history_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users below the 10-transaction minimum are not scored."""
+    txn = views.txn_star(spark, sf_dir)
+    s = det.scan_summary(txn, None, model_ready=True)
+    return s.select("user_id", "transactions_scanned",
+                    (F.col("status") != "insufficient_data").alias("eligible"),
+                    F.when(F.col("status") == "insufficient_data", F.col("message")).alias("message"))
+
+
+@register("score_normalize")
+def q_score_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 + F7 + A12: per-user min-max normalisation of a raw score (lower =
+    more unusual; here -log1p(amount)) and its severity band."""
+    t = views.txn_star(spark, sf_dir).select("transaction_id", "user_id",
+                                             (-F.log1p("amount")).alias("decision"))
+    s = det.per_user_scale(t).withColumn("anomaly_score", det.normalized_score())
+    return rounded(s.select("transaction_id", "user_id", "anomaly_score",
+                            severity("anomaly_score").alias("severity")))
+
+
+@register("binary_metrics")
+def q_binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 on the labels table: quality as truth, toxic as prediction."""
+    from spendlens.sources.tables import read_table
+    return rounded(binary_metrics(read_table(spark, sf_dir, "labels", "quality", "toxic"),
+                                  "quality", "toxic"))

@@ -205,3 +205,32 @@ union all select 'accuracy', null, null, round(sum(tp) / sum(support), 6), cast(
 union all select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from m
 union all select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
   round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from m"""
+
+ORACLES["history_gate"] = duckdb_with("txn_star") + """
+select user_id, count(*) as transactions_scanned, count(*) >= 10 as eligible,
+  case when count(*) < 10 then 'Need at least 10 transactions for anomaly detection; you have '
+       || count(*) || '.' end as message
+from txn_star group by user_id"""
+
+ORACLES["score_normalize"] = duckdb_with("txn_star") + """
+, r as (select transaction_id, user_id, -ln(1 + amount) as raw from txn_star),
+s as (select *, max(raw) over (partition by user_id) as hi, min(raw) over (partition by user_id) as lo from r)
+select transaction_id, user_id,
+  round(case when hi - lo > 1e-9 then (hi - raw) / (hi - lo) else 0.0 end, 6) as anomaly_score,
+  case when (case when hi - lo > 1e-9 then (hi - raw) / (hi - lo) else 0.0 end) >= 0.75 then 'high'
+       when (case when hi - lo > 1e-9 then (hi - raw) / (hi - lo) else 0.0 end) >= 0.5 then 'medium'
+       else 'low' end as severity
+from s"""
+
+ORACLES["binary_metrics"] = """
+with c as (select count(*) filter (where quality = 1 and toxic = 1) as tp,
+                  count(*) filter (where quality <> 1 and toxic = 1) as fp,
+                  count(*) filter (where quality = 1 and toxic <> 1) as fn,
+                  count(*) filter (where toxic = 1) as flagged,
+                  count(*) filter (where quality = 1) as injected, count(*) as n from labels)
+select round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision,
+  round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall,
+  round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1,
+  round(case when n > 0 then flagged / n else 0 end, 6) as flagged_rate,
+  round(case when n > 0 then injected / n else 0 end, 6) as injected_rate
+from c"""
