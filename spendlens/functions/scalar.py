@@ -51,7 +51,10 @@ def py_float_text(x) -> Column:
     """Render a double the way Python's ``str(float)`` does for money-sized
     values: plain decimal (no exponent), shortest digits, at least one decimal
     (``438.0``, ``10000000.0``, ``12.5``)."""
-    d = F.format_number(col(x), 10)  # thousands separators, fixed 10 decimals
-    plain = F.regexp_replace(d, ",", "")
-    trimmed = F.regexp_replace(plain, "0+$", "")
-    return F.regexp_replace(trimmed, r"\.$", ".0")
+    v = col(x)
+    # in [1e-3, 1e7) Java's Double.toString prints the same shortest digits
+    plain_range = (F.abs(v) >= 1e-3) & (F.abs(v) < 1e7)
+    d = F.format_number(v, 10)  # thousands separators, fixed 10 decimals
+    trimmed = F.regexp_replace(F.regexp_replace(d, ",", ""), "0+$", "")
+    slow = F.regexp_replace(trimmed, r"\.$", ".0")
+    return F.when(plain_range, v.cast("string")).otherwise(slow)
