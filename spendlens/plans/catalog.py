@@ -217,3 +217,125 @@ def q_binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spendlens.sources.tables import read_table
     return rounded(binary_metrics(read_table(spark, sf_dir, "labels", "quality", "toxic"),
                                   "quality", "toxic"))
+
+
+# ---------------------------------------------------------------- registry
+from spendlens.operators import registry as reg  # noqa: E402
+
+
+@register("model_promotion")
+def q_model_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotion decision of every version (ties promote, missing metric = -inf)."""
+    p = reg.promotions(views.metric_history(spark, sf_dir))
+    return rounded(p.select("model_name", "version", "score", "promoted"))
+
+
+@register("model_status")
+def q_model_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M16 + A11: per model readiness, active / latest / next version."""
+    s = reg.model_status(views.metric_history(spark, sf_dir))
+    return s.select("model_name", "is_ready", F.col("active_version").cast("bigint"),
+                    F.col("latest_version").cast("bigint"), F.col("next_version").cast("bigint"),
+                    F.col("versions").cast("bigint"))
+
+
+# ---------------------------------------------------------------- listings
+from spendlens.operators import listing as lst  # noqa: E402
+
+
+@register("transactions_page")
+def q_transactions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 + P7 + P8 + A4: first page (50) of every user's debits, newest first."""
+    txn = lst.apply_filters(views.txn_star(spark, sf_dir), transaction_type="debit", category=None)
+    p = lst.page(txn, "user_id", [F.col("transaction_date").desc(), F.col("transaction_id")],
+                 skip=0, limit=50)
+    fields = [c for c in lst.TRANSACTION_FIELDS if c in txn.columns]
+    return rounded(p.select("user_id", F.col("position").cast("bigint"),
+                            F.col("total").cast("bigint"), *fields))
+
+
+@register("imports_page")
+def q_imports_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 + A4 over accepted uploads: newest 20 per user."""
+    up = first_uploads(views.uploads(spark, sf_dir)).where("accepted")
+    p = lst.page(up, "user_id", [F.col("file_seq").desc()], skip=0, limit=20, kind="imports")
+    return p.select("user_id", "file_seq", "file_hash", F.col("position").cast("bigint"),
+                    F.col("total").cast("bigint"))
+
+
+@register("retention_window")
+def q_retention_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows within 90 days of the latest transaction date."""
+    txn = views.txn_star(spark, sf_dir)
+    as_of = txn.agg(F.max("transaction_date")).scalar()
+    return lst.retention(txn, "transaction_date", as_of).select(
+        "transaction_id", "user_id", "transaction_date")
+
+
+@register("unique_key_audit")
+def q_unique_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, file hash) keys that occur more than once."""
+    d = lst.duplicate_keys(views.uploads(spark, sf_dir), ["user_id", "file_hash"])
+    return d.withColumn("n", F.col("n").cast("bigint"))
+
+
+@register("category_defaults")
+def q_category_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System categories (user NULL) inserted where absent, null-safe keys."""
+    existing = (views.txn_star(spark, sf_dir)
+                .select(F.col("category").alias("name"), F.col("user_id").cast("string"))
+                .distinct().withColumn("is_system", F.lit(False)))
+    defaults = spark.createDataFrame([(c, None, True) for c in lst.DEFAULT_CATEGORIES],
+                                     "name string, user_id string, is_system boolean")
+    return lst.insert_if_absent(existing, defaults, ["name", "user_id"])
+
+
+def _w5_scored(spark, sf_dir):
+    t = views.txn_star(spark, sf_dir).select("transaction_id", "user_id", "is_injected_anomaly",
+                                             (-F.log1p("amount")).alias("decision"))
+    s = det.per_user_scale(t).where(F.col("__n") >= det.MIN_TRANSACTIONS_FOR_DETECTION)
+    return s.withColumn("anomaly_score", det.normalized_score()) \
+            .withColumn("is_anomaly", F.col("anomaly_score") >= 0.75)
+
+
+@register("anomaly_flags_update")
+def q_anomaly_flags_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update join -- scored users get new flag + score, others keep old values."""
+    txn = views.txn_star(spark, sf_dir).select("transaction_id", "user_id").withColumn(
+        "is_anomaly", F.lit(False)).withColumn("anomaly_score", F.lit(None).cast("double"))
+    out = det.apply_flags(txn, _w5_scored(spark, sf_dir))
+    return rounded(out.select("transaction_id", "user_id", "is_anomaly", "anomaly_score"))
+
+
+@register("anomaly_replace")
+def q_anomaly_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replace every scanned user's anomaly records (users with no new
+    anomaly lose their old ones)."""
+    txn = views.txn_star(spark, sf_dir)
+    old = txn.where("is_injected_anomaly = 1").select("user_id", "transaction_id",
+                                                       F.lit("previous").alias("source"))
+    scored = _w5_scored(spark, sf_dir)
+    new = scored.where("is_anomaly").select("user_id", "transaction_id", F.lit("current").alias("source"))
+    return det.replace_anomalies(old, new, scored.select("user_id"))
+
+
+# ---------------------------------------------------------------- whole-history feature sets
+from spendlens.operators import history as hist  # noqa: E402
+
+
+@register("history_features_a")
+def q_history_features_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4a + A1 + A2: whole-history feature set A per user."""
+    f = hist.features_a(views.txn_star(spark, sf_dir))
+    return rounded(f.select("transaction_id", "user_id", "merchant_key", "log_amount", "day_of_week",
+                            "day_of_month", "merchant_frequency", "is_new_merchant",
+                            "category_frequency", "amount_zscore_category", "amount_zscore_merchant"))
+
+
+@register("history_features_b")
+def q_history_features_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4b + A1 + A2: whole-history feature set B per user."""
+    f = hist.features_b(views.txn_star(spark, sf_dir))
+    return rounded(f.select("transaction_id", "user_id", "log_amount", "category_amount_zscore",
+                            "merchant_amount_zscore", "merchant_frequency_ratio",
+                            "category_frequency_ratio", "is_new_merchant", "day_of_week", "day_of_month"))

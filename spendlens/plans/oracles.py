@@ -234,3 +234,116 @@ select round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precisi
   round(case when n > 0 then flagged / n else 0 end, 6) as flagged_rate,
   round(case when n > 0 then injected / n else 0 end, 6) as injected_rate
 from c"""
+
+ORACLES["model_promotion"] = duckdb_with("metric_history").replace("with ", "with recursive ", 1) + """
+, walk(model_name, version, best, promoted) as (
+  select model_name, version, coalesce(score, '-inf'::double), true from metric_history where version = 1
+  union all
+  select m.model_name, m.version,
+    greatest(w.best, coalesce(m.score, '-inf'::double)),
+    coalesce(m.score, '-inf'::double) >= w.best
+  from walk w join metric_history m on m.model_name = w.model_name and m.version = w.version + 1)
+select w.model_name, w.version, round(m.score, 6) as score, w.promoted
+from walk w join metric_history m using (model_name, version)"""
+
+ORACLES["model_status"] = duckdb_with("metric_history").replace("with ", "with recursive ", 1) + """
+, walk(model_name, version, best, promoted) as (
+  select model_name, version, coalesce(score, '-inf'::double), true from metric_history where version = 1
+  union all
+  select m.model_name, m.version,
+    greatest(w.best, coalesce(m.score, '-inf'::double)),
+    coalesce(m.score, '-inf'::double) >= w.best
+  from walk w join metric_history m on m.model_name = w.model_name and m.version = w.version + 1)
+select model_name, max(version) filter (where promoted) is not null as is_ready,
+  max(version) filter (where promoted) as active_version, max(version) as latest_version,
+  coalesce(max(version), 0) + 1 as next_version, count(*) as versions
+from walk group by model_name"""
+
+ORACLES["transactions_page"] = duckdb_with("txn_star") + """
+, d as (select * from txn_star where transaction_type = 'debit'),
+r as (select *, row_number() over (partition by user_id order by transaction_date desc, transaction_id) as position,
+             count(*) over (partition by user_id) as total from d)
+select user_id, position, total, transaction_id, transaction_date, description, merchant,
+  round(amount, 6) as amount, currency, transaction_type, category, import_id
+from r where position <= 50"""
+
+ORACLES["imports_page"] = duckdb_with("uploads") + """
+, a as (select * from uploads u where not exists (
+          select 1 from uploads e where e.user_id = u.user_id and e.file_hash = u.file_hash and e.file_seq < u.file_seq)),
+r as (select *, row_number() over (partition by user_id order by file_seq desc) as position,
+             count(*) over (partition by user_id) as total from a)
+select user_id, file_seq, file_hash, position, total from r where position <= 20"""
+
+ORACLES["retention_window"] = duckdb_with("txn_star") + """
+select transaction_id, user_id, transaction_date from txn_star
+where transaction_date >= (select max(transaction_date) from txn_star) - interval 90 days"""
+
+ORACLES["unique_key_audit"] = duckdb_with("uploads") + """
+select user_id, file_hash, count(*) as n from uploads group by user_id, file_hash having count(*) > 1"""
+
+ORACLES["category_defaults"] = duckdb_with("txn_star") + """
+, existing as (select distinct category as name, user_id::varchar as user_id, false as is_system from txn_star),
+defaults as (select unnest(['Food', 'Groceries', 'Transportation', 'Travel', 'Shopping',
+    'Entertainment', 'Bills', 'Utilities', 'Healthcare', 'Education', 'Rent', 'Salary', 'Investment',
+    'Transfer', 'Subscription', 'Cash Withdrawal', 'Other']) as name, null::varchar as user_id, true as is_system)
+select * from existing
+union all
+select * from defaults d where not exists (
+  select 1 from existing e where e.name is not distinct from d.name and e.user_id is not distinct from d.user_id)"""
+
+_W5 = duckdb_with("txn_star") + """
+, r as (select transaction_id, user_id, is_injected_anomaly, -ln(1 + amount) as raw,
+          count(*) over (partition by user_id) as n,
+          max(-ln(1 + amount)) over (partition by user_id) as hi,
+          min(-ln(1 + amount)) over (partition by user_id) as lo from txn_star),
+scored as (select *, case when hi - lo > 1e-9 then (hi - raw) / (hi - lo) else 0.0 end as anomaly_score
+           from r where n >= 10)
+"""
+
+ORACLES["anomaly_flags_update"] = _W5 + """
+select t.transaction_id, t.user_id, coalesce(s.anomaly_score >= 0.75, false) as is_anomaly,
+  round(s.anomaly_score, 6) as anomaly_score
+from txn_star t left join scored s using (transaction_id)"""
+
+ORACLES["anomaly_replace"] = _W5 + """
+select user_id, transaction_id, 'previous' as source from txn_star
+where is_injected_anomaly = 1 and user_id not in (select user_id from scored)
+union all
+select user_id, transaction_id, 'current' from scored where anomaly_score >= 0.75"""
+
+ORACLES["history_features_a"] = duckdb_with("txn_star") + """
+, d as (select *, coalesce(merchant, description) as merchant_key from txn_star),
+s as (select *,
+  count(*) over (partition by user_id, merchant_key) as mk_n,
+  avg(amount) over (partition by user_id, merchant_key) as mk_mean,
+  stddev_samp(amount) over (partition by user_id, merchant_key) as mk_sd,
+  count(*) over (partition by user_id, category) as ck_n,
+  avg(amount) over (partition by user_id, category) as ck_mean,
+  stddev_samp(amount) over (partition by user_id, category) as ck_sd from d)
+select transaction_id, user_id, merchant_key, round(ln(1 + abs(amount)), 6) as log_amount,
+  cast(isodow(transaction_date) - 1 as double) as day_of_week, cast(day(transaction_date) as double) as day_of_month,
+  case when merchant_key is not null then mk_n::double end as merchant_frequency,
+  case when merchant_key is not null and mk_n = 1 then 1 else 0 end as is_new_merchant,
+  case when category is not null then ck_n::double end as category_frequency,
+  round(case when category is not null and ck_sd is not null and ck_sd <> 0 then (amount - ck_mean) / ck_sd else 0.0 end, 6) as amount_zscore_category,
+  round(case when merchant_key is not null and mk_sd is not null and mk_sd <> 0 then (amount - mk_mean) / mk_sd else 0.0 end, 6) as amount_zscore_merchant
+from s"""
+
+ORACLES["history_features_b"] = duckdb_with("txn_star") + """
+, d as (select *, coalesce(merchant, 'UNKNOWN_MERCHANT') as mb from txn_star),
+s as (select *,
+  count(*) over (partition by user_id, mb) as mb_n,
+  avg(amount) over (partition by user_id, mb) as mb_mean,
+  stddev_samp(amount) over (partition by user_id, mb) as mb_sd,
+  count(*) over (partition by user_id, category) as cb_n,
+  avg(amount) over (partition by user_id, category) as cb_mean,
+  stddev_samp(amount) over (partition by user_id, category) as cb_sd,
+  count(*) over (partition by user_id) as total from d)
+select transaction_id, user_id, round(ln(1 + amount), 6) as log_amount,
+  round((amount - cb_mean) / (case when cb_n > 1 and cb_sd > 0 then cb_sd else 1.0 end), 6) as category_amount_zscore,
+  round((amount - mb_mean) / (case when mb_n > 1 and mb_sd > 0 then mb_sd else 1.0 end), 6) as merchant_amount_zscore,
+  round(mb_n / total, 6) as merchant_frequency_ratio,
+  round(case when category is not null then cb_n / total end, 6) as category_frequency_ratio,
+  case when mb_n <= 1 then 1 else 0 end as is_new_merchant,
+  cast(isodow(transaction_date) - 1 as double) as day_of_week, cast(day(transaction_date) as double) as day_of_month
+from s"""
