@@ -339,3 +339,45 @@ def q_history_features_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(f.select("transaction_id", "user_id", "log_amount", "category_amount_zscore",
                             "merchant_amount_zscore", "merchant_frequency_ratio",
                             "category_frequency_ratio", "is_new_merchant", "day_of_week", "day_of_month"))
+
+
+# ---------------------------------------------------------------- analytics (second tier)
+from spendlens.operators import analytics as an  # noqa: E402
+
+
+@register("monthly_kpis")
+def q_monthly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Income, expense, net, running balance, savings rate, expense trend."""
+    k = an.monthly_kpis(views.txn_star(spark, sf_dir))
+    return rounded(k.select("user_id", "month", "income", "expense", "net", "balance",
+                            "savings_rate", "expense_change"), 2)
+
+
+@register("spending_rollup")
+def q_spending_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly debit totals by category with rollup subtotals."""
+    r = an.spending_rollup(views.txn_star(spark, sf_dir), "month")
+    return rounded(r.select("period", "category", F.col("level").cast("bigint"), "debit_total",
+                            F.col("debit_count").cast("bigint"), "debit_avg"), 2)
+
+
+@register("recurring_payments")
+def q_recurring_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: recurring debits per user and merchant."""
+    r = an.recurring_payments(views.txn_star(spark, sf_dir))
+    return rounded(r.withColumn("payments", F.col("payments").cast("bigint")), 4)
+
+
+@register("spend_forecast")
+def q_spend_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """7/30/90-day debit forecast per user (exponential smoothing + band)."""
+    f = an.spend_forecast(views.txn_star(spark, sf_dir))
+    # whole currency units: the closed form and a day-by-day fold differ in the last bits
+    return rounded(f.select("user_id", F.col("horizon_days").cast("int"), "days", "forecast",
+                            "lower", "upper"), 0)
+
+
+@register("insights")
+def q_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top category, top merchant, largest month-over-month change per user."""
+    return rounded(an.insights(views.txn_star(spark, sf_dir)), 2)

@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType, FloatType
 DIGITS = 6
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:  # noqa: D401
     """Round every double column (the oracle rounds the same columns)."""
     return df.select(*[
         F.round(F.col(f.name), digits).alias(f.name)

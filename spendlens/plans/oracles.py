@@ -347,3 +347,72 @@ select transaction_id, user_id, round(ln(1 + amount), 6) as log_amount,
   case when mb_n <= 1 then 1 else 0 end as is_new_merchant,
   cast(isodow(transaction_date) - 1 as double) as day_of_week, cast(day(transaction_date) as double) as day_of_month
 from s"""
+
+ORACLES["monthly_kpis"] = duckdb_with("txn_star") + """
+, m as (select user_id, date_trunc('month', transaction_date)::date as month,
+          sum(case when transaction_type = 'credit' then amount else 0 end) as income,
+          sum(case when transaction_type = 'debit' then amount else 0 end) as expense
+        from txn_star group by all),
+k as (select *, income - expense as net,
+        sum(income - expense) over (partition by user_id order by month rows between unbounded preceding and current row) as balance,
+        lag(expense) over (partition by user_id order by month) as prev from m)
+select user_id, month, round(income, 2) as income, round(expense, 2) as expense, round(net, 2) as net,
+  round(balance, 2) as balance, round(case when income <> 0 then net / income end, 2) as savings_rate,
+  round(case when prev <> 0 then (expense - prev) / prev end, 2) as expense_change
+from k"""
+
+ORACLES["spending_rollup"] = duckdb_with("txn_star") + """
+, d as (select date_trunc('month', transaction_date)::date as period, category, amount from txn_star
+        where transaction_type = 'debit')
+select period, category, 0::bigint as level, round(sum(amount), 2) as debit_total, count(*) as debit_count,
+  round(avg(amount), 2) as debit_avg from d group by period, category
+union all
+select period, null, 1, round(sum(amount), 2), count(*), round(avg(amount), 2) from d group by period
+union all
+select null, null, 3, round(sum(amount), 2), count(*), round(avg(amount), 2) from d"""
+
+ORACLES["recurring_payments"] = duckdb_with("txn_star") + """
+, d as (select user_id, merchant, amount, transaction_date::date as day, transaction_id from txn_star
+        where transaction_type = 'debit' and merchant is not null and merchant <> ''),
+g as (select *, day - lag(day) over (partition by user_id, merchant order by day, transaction_id) as gap from d),
+a as (select user_id, merchant, count(*) as payments, avg(amount) as avg_amount,
+        quantile_disc(gap, 0.5) as median_gap, avg(gap) as mean_gap, stddev_samp(gap) as std_gap,
+        max(day) as last_date from g group by user_id, merchant having count(*) >= 3),
+f as (select *, case when median_gap between 1 and 1 then 'DAILY' when median_gap between 6 and 8 then 'WEEKLY'
+                     when median_gap between 26 and 35 then 'MONTHLY' when median_gap between 350 and 380 then 'YEARLY'
+                end as frequency from a)
+select user_id, merchant, frequency, payments, round(avg_amount, 4) as avg_amount, median_gap::int as median_gap,
+  round(greatest(0.0, 1.0 - coalesce(case when mean_gap <> 0 then std_gap / mean_gap end, 0.0)), 4) as confidence,
+  last_date + median_gap::int as next_date
+from f where frequency is not null"""
+
+ORACLES["spend_forecast"] = duckdb_with("txn_star") + """
+, daily as (select user_id, transaction_date::date as day, sum(amount) as x from txn_star
+            where transaction_type = 'debit' group by all),
+span as (select user_id, min(day) as t0, max(day) as t1 from daily group by user_id),
+filled as (select s.user_id, g.day::date as day, coalesce(d.x, 0.0) as x
+           from span s, generate_series(s.t0, s.t1, interval 1 day) g(day)
+           left join daily d on d.user_id = s.user_id and d.day = g.day::date),
+series as (select user_id, list(x order by day) as xs, count(*) as days, stddev_samp(x) as sd from filled group by user_id),
+lv as (select user_id, days, list_reduce(xs, lambda acc, x: 0.3 * x + 0.7 * acc) as level,
+          coalesce(sd, 0.0) as sd from series),
+h as (select *, unnest([7, 30, 90]) as horizon_days from lv)
+select user_id, horizon_days, days, round(level * horizon_days, 0) as forecast,
+  round(greatest(0.0, level * horizon_days - 1.96 * sd * sqrt(horizon_days)), 0) as lower,
+  round(level * horizon_days + 1.96 * sd * sqrt(horizon_days), 0) as upper
+from h"""
+
+ORACLES["insights"] = duckdb_with("txn_star") + """
+, d as (select * from txn_star where transaction_type = 'debit'),
+c as (select user_id, category, sum(amount) as v from d group by all),
+mc as (select user_id, merchant, sum(amount) as v from d where merchant is not null and merchant <> '' group by all),
+m as (select user_id, date_trunc('month', transaction_date)::date as month,
+        sum(case when transaction_type = 'debit' then amount else 0 end) as expense from txn_star group by all),
+ch as (select user_id, month, expense - lag(expense) over (partition by user_id order by month) as delta from m)
+select user_id, 'top_category' as insight, arg_min(category, struct_pack(a := -v, b := category)) as label,
+  round(max(v), 2) as value from c group by user_id
+union all
+select user_id, 'top_merchant', arg_min(merchant, struct_pack(a := -v, b := merchant)), round(max(v), 2) from mc group by user_id
+union all
+select user_id, 'largest_monthly_change', strftime(arg_min(month, struct_pack(a := -abs(delta), b := month)), '%Y-%m'),
+  round(arg_min(delta, struct_pack(a := -abs(delta), b := month)), 2) from ch where delta is not null group by user_id"""
