@@ -124,9 +124,13 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str, n_trees: int = N
                max_samples: int = MAX_SAMPLES, seed: int = SEED,
                contamination: float = CONTAMINATION) -> tuple[ForestModel, DataFrame]:
     """M11 + M13: returns the model and the training rows with their scores."""
+    # M10 is fitted and kept with the model for parity, but trees are grown on
+    # the raw features: isolation splits are scale-equivariant (threshold =
+    # lo + u * (hi - lo)), and raw values make the forest independent of how
+    # floating-point sums were partitioned
     means, scales = fit_scaler(df, features)
-    z = standardize(df, features, means, scales)
-    zcols = ["__z_" + f for f in features]
+    z = df
+    zcols = list(features)
     n = df.count()
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -193,8 +197,8 @@ def score(model: ForestModel, df: DataFrame, out_col: str = "score") -> DataFram
     flat = _flat(model.nodes)
     bc = spark.sparkContext.broadcast(flat)
     c_psi = float(avg_path_length(model.psi)) or 1.0
-    z = standardize(df, model.features, model.means, model.scales)
-    zcols = ["__z_" + f for f in model.features]
+    z = df
+    zcols = list(model.features)
     keep = list(df.columns)
     schema = StructType(list(df.schema.fields) + [StructField(out_col, DoubleType())])
 
@@ -205,6 +209,8 @@ def score(model: ForestModel, df: DataFrame, out_col: str = "score") -> DataFram
         for pdf in batches:
             X = pdf[zcols].to_numpy(dtype=float)
             n = len(X)
+            if n == 0:
+                continue
             idx = np.broadcast_to(roots, (n, roots.size)).copy()
             rows = np.arange(n)[:, None]
             for _ in range(t["max_depth"] + 1):
