@@ -381,3 +381,23 @@ def q_spend_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top category, top merchant, largest month-over-month change per user."""
     return rounded(an.insights(views.txn_star(spark, sf_dir)), 2)
+
+
+# ---------------------------------------------------------------- model comparison, anomalies page
+@register("categorizer_candidates")
+def q_categorizer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4-M6 + O5: logistic regression, one-vs-rest SVM and naive Bayes on one
+    split, macro metrics per candidate and the chosen one."""
+    from spendlens.plans.train import compare_candidates
+    return compare_candidates(spark, views.labelled_text(spark, sf_dir))
+
+
+@register("anomalies_page")
+def q_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2 + P8 + A4: each user's first page (50) of high-severity anomalies."""
+    feat, model, _ = _trained(spark, sf_dir)
+    a = lst.apply_filters(det.detect(feat, model).where("is_anomaly"), severity="high")
+    p = lst.page(a, "user_id", [F.col("anomaly_score").desc(), F.col("transaction_id")], 0, 50,
+                 kind="anomalies")
+    return p.select("user_id", "transaction_id", "anomaly_score", "severity", "reason",
+                    F.col("position").cast("bigint"), F.col("total").cast("bigint"))
