@@ -59,7 +59,8 @@ def q_statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("import_summary")
 def q_import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-file counts, status and the first 50 errors."""
-    s = import_summary(_parsed_statements(spark, sf_dir), ["user_id", "file_id"])
+    # parsed rows feed two aggregates (counts, first errors): materialise once
+    s = import_summary(_parsed_statements(spark, sf_dir).checkpoint(), ["user_id", "file_id"])
     errs = F.array_join(F.transform("errors", lambda e: F.concat(
         e["row"].cast("string"), F.lit(":"), e["message"])), " | ")
     return s.select("user_id", "file_id", "total_rows", "imported_rows", "failed_rows", "status",
