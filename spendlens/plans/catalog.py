@@ -79,7 +79,8 @@ from spendlens.operators import textclass as tc  # noqa: E402
 
 
 def _text(spark, sf_dir):
-    return tc.prepare(views.labelled_text(spark, sf_dir)).withColumn("is_test", tc.split_flag("id"))
+    return tc.materialize(tc.prepare(views.labelled_text(spark, sf_dir))
+                          .withColumn("is_test", tc.split_flag("id")))
 
 
 def _nb(spark, sf_dir):
@@ -95,8 +96,9 @@ def _nb(spark, sf_dir):
 def q_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 + M1: cleaned description and 1-2-gram term counts per document (whole texts)."""
     d = _text(spark, sf_dir)
+    from spendlens.functions.text import unigrams
     return d.select("id", "clean_description",
-                    F.size(F.filter("terms", lambda t: ~t.contains(" "))).cast("bigint").alias("n_unigrams"),
+                    F.size(unigrams("clean_description")).cast("bigint").alias("n_unigrams"),
                     F.size("terms").cast("bigint").alias("n_terms"))
 
 
