@@ -163,7 +163,9 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str, n_trees: int = N
     model = ForestModel(features, means, scales, nodes, psi,
                         params={"n_trees": n_trees, "max_samples": max_samples, "seed": seed,
                                 "contamination": contamination})
-    scored = score(model, df)
+    # scored training rows feed the quantile and every later consumer (flags,
+    # per-user scaling): score once, cut lineage in the shared checkpoint folder
+    scored = score(model, df).checkpoint()
     q = scored.agg(F.percentile_approx("score", contamination, PERCENTILE_ACCURACY)).first()[0]
     model.offset = float(q)
     return model, scored.withColumn("decision", F.col("score") - F.lit(model.offset))

@@ -181,16 +181,16 @@ def q_forest_train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_detect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection for every user with enough history: flag, per-user
     normalised score, severity and one explanation per flagged transaction."""
-    feat, model, _ = _trained(spark, sf_dir)
-    return det.detect(feat, model).drop("decision")
+    feat, model, scored = _trained(spark, sf_dir)
+    return det.detect(feat, model, scored=scored).drop("decision")
 
 
 @register("detect_summary")
 def q_detect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5 + F12: per-user scan status, message and counts."""
     txn = views.txn_star(spark, sf_dir)
-    feat, model, _ = _trained(spark, sf_dir)
-    return det.scan_summary(txn, det.detect(feat, model))
+    feat, model, scored = _trained(spark, sf_dir)
+    return det.scan_summary(txn, det.detect(feat, model, scored=scored))
 
 
 @register("history_gate")
@@ -398,8 +398,8 @@ def q_categorizer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("anomalies_page")
 def q_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2 + P8 + A4: each user's first page (50) of high-severity anomalies."""
-    feat, model, _ = _trained(spark, sf_dir)
-    a = lst.apply_filters(det.detect(feat, model).where("is_anomaly"), severity="high")
+    feat, model, scored = _trained(spark, sf_dir)
+    a = lst.apply_filters(det.detect(feat, model, scored=scored).where("is_anomaly"), severity="high")
     p = lst.page(a, "user_id", [F.col("anomaly_score").desc(), F.col("transaction_id")], 0, 50,
                  kind="anomalies")
     return p.select("user_id", "transaction_id", "anomaly_score", "severity", "reason",
