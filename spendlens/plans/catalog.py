@@ -404,3 +404,12 @@ def q_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
                  kind="anomalies")
     return p.select("user_id", "transaction_id", "anomaly_score", "severity", "reason",
                     F.col("position").cast("bigint"), F.col("total").cast("bigint"))
+
+
+@register("event_features")
+def q_event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1-W3 cross-check on dense event histories (sub-second timestamps, event_id tie-break)."""
+    ev = views.txn_events(spark, sf_dir).withColumnRenamed("ts", "transaction_date")
+    f = expanding_features(ev, seq_col="event_id", bucket=F.to_date("transaction_date"))
+    return rounded(f.select("event_id", "user_id", "category_zscore", "merchant_zscore", "is_new_merchant",
+                            F.col("cat_n").alias("prior_category_n"), F.col("mer_n").alias("prior_merchant_n")))

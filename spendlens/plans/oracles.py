@@ -416,3 +416,22 @@ select user_id, 'top_merchant', arg_min(merchant, struct_pack(a := -v, b := merc
 union all
 select user_id, 'largest_monthly_change', strftime(arg_min(month, struct_pack(a := -abs(delta), b := month)), '%Y-%m'),
   round(arg_min(delta, struct_pack(a := -abs(delta), b := month)), 2) from ch where delta is not null group by user_id"""
+
+ORACLES["event_features"] = duckdb_with("txn_events") + """
+, p as (
+  select a.event_id,
+    count(b.amount) filter (where b.category is not distinct from a.category) as cn,
+    avg(b.amount) filter (where b.category is not distinct from a.category) as cm,
+    stddev_samp(b.amount) filter (where b.category is not distinct from a.category) as cs,
+    count(b.amount) filter (where b.merchant = a.merchant and a.merchant <> '') as mn,
+    avg(b.amount) filter (where b.merchant = a.merchant and a.merchant <> '') as mm,
+    stddev_samp(b.amount) filter (where b.merchant = a.merchant and a.merchant <> '') as ms
+  from txn_events a left join txn_events b on b.user_id = a.user_id
+    and (b.ts < a.ts or (b.ts = a.ts and b.event_id < a.event_id))
+  group by a.event_id)
+select e.event_id, e.user_id,
+  round(case when coalesce(cs, 0) > 0 then (e.amount - cm) / cs else 0.0 end, 6) as category_zscore,
+  round(case when coalesce(e.merchant, '') <> '' and coalesce(ms, 0) > 0 then (e.amount - mm) / ms else 0.0 end, 6) as merchant_zscore,
+  case when coalesce(e.merchant, '') <> '' and mn = 0 then 1.0 else 0.0 end as is_new_merchant,
+  cn as prior_category_n, case when coalesce(e.merchant, '') <> '' then mn else 0 end as prior_merchant_n
+from txn_events e join p using (event_id)"""
