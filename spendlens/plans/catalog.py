@@ -413,3 +413,30 @@ def q_event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = expanding_features(ev, seq_col="event_id", bucket=F.to_date("transaction_date"))
     return rounded(f.select("event_id", "user_id", "category_zscore", "merchant_zscore", "is_new_merchant",
                             F.col("cat_n").alias("prior_category_n"), F.col("mer_n").alias("prior_merchant_n")))
+
+
+@register("statement_files")
+def q_statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 S2 S4 J1 + parsing through real files: every user's raw statement rows
+    are written as CSV files (one per user and layout, rows in key order) into
+    the shared checkpoint folder, then imported from the folder."""
+    import uuid
+
+    from spendlens.session import scratch_path
+    folder = scratch_path(spark, f"statement-files-{uuid.uuid4().hex}")
+    views.write_raw_statement_files(views.raw_statement(spark, sf_dir), folder)
+    files = spark.read.format("binaryFile").load(folder)
+    rows = _imported_rows(spark, files)
+    return rounded(rows.select(F.col("user_id").cast("bigint").alias("user_id"), "row_num",
+                               "transaction_date", "description", "merchant", "amount",
+                               "transaction_type", "currency", "reference", "error", "content_hash"))
+
+
+def _imported_rows(spark, files):
+    """All parsed rows (good and bad) of the accepted files."""
+    from spendlens.operators.statement import file_error, parse_rows
+    from spendlens.sources.statements import accepted, split_records
+    acc = accepted(files)
+    recs = split_records(acc.select("path", "content", "user_id", "file_hash"))
+    ok = recs.where(file_error("header").isNull() & F.col("row_num").isNotNull())
+    return parse_rows(ok)

@@ -435,3 +435,7 @@ select e.event_id, e.user_id,
   case when coalesce(e.merchant, '') <> '' and mn = 0 then 1.0 else 0.0 end as is_new_merchant,
   cn as prior_category_n, case when coalesce(e.merchant, '') <> '' then mn else 0 end as prior_merchant_n
 from txn_events e join p using (event_id)"""
+
+ORACLES["statement_files"] = _STATEMENT + """
+select user_id, row_num, transaction_date, description, merchant, amount, transaction_type, currency,
+  reference, error, content_hash from rows"""

@@ -259,3 +259,28 @@ def raw_statement_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = running_row_number(r, ["user_id", "file_id"], ["row_key"],
                            F.floor(F.col("row_key") / F.lit(VERSION_BUCKET)), "pos_in_file")
     return r.withColumn("row_num", (F.col("pos_in_file") + 1).cast("int")).drop("pos_in_file")
+
+
+def write_raw_statement_files(raw: DataFrame, folder: str) -> None:
+    """Write raw_statement as CSV statement files: one file per user and layout
+    (``user_id=<id>/layout=<k>/part-*.csv``), rows in file order, cells verbatim
+    (leading/trailing spaces kept, values with commas quoted)."""
+    odd = _mod("row_key", 2) == 1
+    cols = {
+        0: [("date", "date_raw"), ("description", "desc_raw"), ("amount", "amt_raw"), ("type", "type_raw")],
+        1: [("transaction_date", "date_raw"), ("narration", "desc_raw"),
+            ("debit", F.when(odd, F.col("amt_raw")).otherwise(F.lit(""))),
+            ("credit", F.when(odd, F.lit("")).otherwise(F.col("amt_raw")))],
+        2: [("date", "date_raw"), ("description", "desc_raw"), ("amount", "amt_raw")],
+        3: [("date", "date_raw"), ("description", "desc_raw"), ("amount", "amt_raw"), ("type", "type_raw"),
+            ("merchant", "merchant_raw")],
+    }
+    for k, spec in cols.items():
+        sel = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in spec]
+        part = (raw.where(F.col("layout") == k)
+                   .select("user_id", "row_key", *sel)
+                   .repartition("user_id").sortWithinPartitions("user_id", "row_key").drop("row_key"))
+        (part.write.mode("overwrite").partitionBy("user_id")
+             .option("header", True).option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "")
+             .csv(f"{folder}/layout={k}"))
