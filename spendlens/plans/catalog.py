@@ -78,9 +78,11 @@ def q_duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 from spendlens.operators import textclass as tc  # noqa: E402
 
 
-def _text(spark, sf_dir):
-    return tc.materialize(tc.prepare(views.labelled_text(spark, sf_dir))
-                          .withColumn("is_test", tc.split_flag("id")))
+def _text(spark, sf_dir, keep_clean: bool = False):
+    """Prepared documents, materialised once: only what later steps read."""
+    d = tc.prepare(views.labelled_text(spark, sf_dir)).withColumn("is_test", tc.split_flag("id"))
+    cols = ["id", "category", "is_test", "terms"] + (["clean_description"] if keep_clean else [])
+    return tc.materialize(d.select(*cols))
 
 
 def _nb(spark, sf_dir):
@@ -95,7 +97,7 @@ def _nb(spark, sf_dir):
 @register("text_terms")
 def q_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 + M1: cleaned description and 1-2-gram term counts per document (whole texts)."""
-    d = _text(spark, sf_dir)
+    d = _text(spark, sf_dir, keep_clean=True)
     from spendlens.functions.text import unigrams
     return d.select("id", "clean_description",
                     F.size(unigrams("clean_description")).cast("bigint").alias("n_unigrams"),
