@@ -28,6 +28,8 @@ SCALE_CONF = {
     # broadcast only what the planner can prove small; our explicit broadcasts
     # are parameter-bounded model tables, never data-sized frames
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # checkpoint files of DataFrames that are no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # parsing projections generate methods above HotSpot's 8 KB JIT limit;
     # without this they would run interpreted (about 2-3x slower)
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
