@@ -113,12 +113,14 @@ def apply_prior_moments(d: DataFrame, pre: DataFrame, g: list[str], b: str,
     moments inside the row's own bucket."""
     x = F.col(value)
     piv, pn, pd1, pd2 = f"__{tag}_piv", f"__{tag}_pn", f"__{tag}_pd1", f"__{tag}_pd2"
-    j = d.join(pre, on=[*g, b])
+    # window inside the bucket first: its output is already clustered and
+    # sorted on (group, bucket), so the join that follows needs no extra sort
     wr = Window.partitionBy(*g, b).orderBy(*order_cols).rowsBetween(_UNB, -1)
     wn, wmean, wm2 = f"__{tag}_wn", f"__{tag}_wmean", f"__{tag}_wm2"
-    j = (j.withColumn(wn, F.count(x).over(wr))
+    d = (d.withColumn(wn, F.count(x).over(wr))
           .withColumn(wmean, F.avg(x).over(wr))
           .withColumn(wm2, F.var_pop(x).over(wr) * F.col(wn)))
+    j = d.join(pre, on=[*g, b])
 
     P, W = F.col(pn).cast("double"), F.col(wn).cast("double")
     p_mean = F.col(piv) + F.try_divide(F.col(pd1), P)
