@@ -57,9 +57,10 @@ def running_row_number(df: DataFrame, part_cols: Sequence[str], order_cols: Sequ
     wb = Window.partitionBy(*g).orderBy(b).rowsBetween(_UNB, -1)
     prefix = counts.select(*g, b, F.coalesce(F.sum(f"__{tag}_bn").over(wb), F.lit(0))
                            .alias(f"__{tag}_before"))
-    j = d.join(prefix, on=[*g, b])
     wr = Window.partitionBy(*g, b).orderBy(*order_cols)
-    out = j.withColumn(out_col, F.col(f"__{tag}_before") + F.row_number().over(wr))
+    d = d.withColumn(f"__{tag}_local", F.row_number().over(wr))   # window first: no re-sort
+    j = d.join(prefix, on=[*g, b])
+    out = j.withColumn(out_col, F.col(f"__{tag}_before") + F.col(f"__{tag}_local"))
     return _drop_internal(out, tag)
 
 
@@ -73,9 +74,10 @@ def running_prior_max(df: DataFrame, part_cols: Sequence[str], order_cols: Seque
     per_bucket = d.groupBy(*g, b).agg(F.max(v).alias(f"__{tag}_bmax"))
     wb = Window.partitionBy(*g).orderBy(b).rowsBetween(_UNB, -1)
     prefix = per_bucket.select(*g, b, F.max(f"__{tag}_bmax").over(wb).alias(f"__{tag}_pmax"))
-    j = d.join(prefix, on=[*g, b])
     wr = Window.partitionBy(*g, b).orderBy(*order_cols).rowsBetween(_UNB, -1)
-    out = j.withColumn(out_col, F.greatest(F.col(f"__{tag}_pmax"), F.max(v).over(wr)))
+    d = d.withColumn(f"__{tag}_wmax", F.max(v).over(wr))          # window first: no re-sort
+    j = d.join(prefix, on=[*g, b])
+    out = j.withColumn(out_col, F.greatest(F.col(f"__{tag}_pmax"), F.col(f"__{tag}_wmax")))
     return _drop_internal(out, tag)
 
 
