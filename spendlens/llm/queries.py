@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import token_counts, tree_bpe, url_filters, warc
+from . import gray_simhash, pu_quality, rp_forest, token_counts, tree_bpe, url_filters, warc
 
 #: The rules that the url query judges by.
 URL_RULES = [
@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixed value: a score from which a document is predicted to be good.
+GOOD = 0.7
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the trusted positives that are not held out."""
+    scored = pu_quality.quality_scores(table(spark, sf_dir, "documents"), pu_quality.trusted_rows(table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", pu_quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     judged = url_filters.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"),
@@ -61,6 +72,16 @@ def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return gray_simhash.simhash_components(table(spark, sf_dir, "documents"), width=3, distance=3)
+
+
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return rp_forest.embedding_components(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from them."""
     got = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
@@ -70,9 +91,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_url_filters": op3_url_filters,
     "op4_token_counts": op4_token_counts,
     "op5_tree_bpe": op5_tree_bpe,
+    "op6_gray_simhash": op6_gray_simhash,
+    "op8_rp_forest": op8_rp_forest,
     "op10_warc": op10_warc,
 }
 
