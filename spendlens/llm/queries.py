@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import gray_simhash, pu_quality, rp_forest, token_counts, tree_bpe, url_filters, warc
+from . import decontam, gray_simhash, pu_quality, rp_forest, token_counts, tree_bpe, url_filters, warc
 
 #: The rules that the url query judges by.
 URL_RULES = [
@@ -82,6 +82,11 @@ def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.embedding_components(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a test item, with the item and the alignment's score."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from them."""
     got = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tree_bpe": op5_tree_bpe,
     "op6_gray_simhash": op6_gray_simhash,
     "op8_rp_forest": op8_rp_forest,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 
