@@ -217,18 +217,18 @@ def _item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tup
         yield block
 
 
-def _matcher(docs: DataFrame, text: str, block: list[tuple[int, np.ndarray]]) -> Matcher:
-    """Seeds of a block of items, by the documents in which its n-grams stand."""
+def _seeds(docs: DataFrame, text: str, block: list[tuple[int, np.ndarray]]) -> tuple:
+    """What a Matcher is made of: a block of items and its seeds, by the documents in which its n-grams stand."""
     grams = [gram_hashes(words) for _, words in block]
-    lookup = docs.sparkSession.sparkContext.broadcast(Lookup(np.concatenate(grams)))
-    size = len(lookup.value.values)
+    values = np.unique(np.concatenate(grams))
+    sent, size = docs.sparkSession.sparkContext.broadcast(values), len(values)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, lookup = np.zeros(size, np.int64), Lookup(sent.value)
         for batch in batches:
             for part in chunks.text_slices(batch, "text", SLICE):
                 words, starts = many_hashes([t or "" for t in part.column("text").to_pylist()])
-                at, which = lookup.value.find(gram_hashes(words))
+                at, which = lookup.find(gram_hashes(words))
                 doc = np.searchsorted(starts, at, side="right") - 1
                 inside = at + GRAM <= starts[doc + 1]
                 # once for each document
@@ -242,10 +242,10 @@ def _matcher(docs: DataFrame, text: str, block: list[tuple[int, np.ndarray]]) ->
         frequency[row.gram] = row.n
     seeds = []
     for i, own in enumerate(grams):
-        rare = frequency[np.searchsorted(lookup.value.values, own)]
+        rare = frequency[np.searchsorted(values, own)]
         picked = {min(range(a, min(a + STRETCH, len(own))), key=lambda k, r=rare: (r[k], k)) for a in range(max(1, len(own) - STRETCH + 1))}
         seeds += [(int(own[k]), i, k) for k in sorted(picked)]
-    return Matcher([i for i, _ in block], [w for _, w in block], seeds)
+    return [i for i, _ in block], [w for _, w in block], seeds
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -261,15 +261,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     out = spark.createDataFrame([], schema)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     for block in _item_blocks(benchmark, item_key, item_text):
-        matcher = spark.sparkContext.broadcast(_matcher(docs, text, block))
+        sent = spark.sparkContext.broadcast(_seeds(docs, text, block))
 
-        def find(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(*sent.value)
             for batch in batches:
                 for part in chunks.text_slices(batch, "text", SLICE):
-                    got = matcher.value.copies([t or "" for t in part.column("text").to_pylist()])
+                    got = matcher.copies([t or "" for t in part.column("text").to_pylist()])
                     if got:
                         yield pa.RecordBatch.from_arrays([
-                            part.column("key").take(pa.array([g[0] for g in got])), pa.array([matcher.value.ids[g[1]] for g in got], pa.int64()),
+                            part.column("key").take(pa.array([g[0] for g in got])), pa.array([matcher.ids[g[1]] for g in got], pa.int64()),
                             pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.int64())],
                             ["key", "item_id", "score", "first_word", "end_word"])
 
@@ -279,20 +280,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def clean_column(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> Column:
     """Whether a document holds no copy of any item, for tables with any other columns."""
-    def flag(matcher) -> Column:
-        def free(texts: pd.Series) -> pd.Series:
-            flags = np.ones(len(texts), bool)
-            values = [t if isinstance(t, str) else "" for t in texts]
-            for at, some in _slices(values):
-                for g in matcher.value.copies(some):
-                    flags[at + g[0]] = False
-            return pd.Series(flags)
+    def flag(sent) -> Column:
+        def free(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matcher = Matcher(*sent.value)
+            for texts in parts:
+                flags = np.ones(len(texts), bool)
+                values = [t if isinstance(t, str) else "" for t in texts]
+                for at, some in _slices(values):
+                    for g in matcher.copies(some):
+                        flags[at + g[0]] = False
+                yield pd.Series(flags)
 
         return F.pandas_udf(free, "boolean")(F.col(f"`{text}`"))
 
     clean = F.lit(True)
     for block in _item_blocks(benchmark, item_key, item_text):
-        clean = clean & flag(docs.sparkSession.sparkContext.broadcast(_matcher(docs, text, block)))
+        clean = clean & flag(docs.sparkSession.sparkContext.broadcast(_seeds(docs, text, block)))
     return clean
 
 
