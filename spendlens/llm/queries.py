@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontam, gray_simhash, pu_quality, rp_forest, token_counts, tree_bpe, url_filters, warc
+from . import bwt_dedup, decontam, gray_simhash, pu_quality, rp_forest, token_counts, tree_bpe, url_filters, warc
 
 #: The rules that the url query judges by.
 URL_RULES = [
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 GOOD = 0.7
 
 
+def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return bwt_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the trusted positives that are not held out."""
     scored = pu_quality.quality_scores(table(spark, sf_dir, "documents"), pu_quality.trusted_rows(table(spark, sf_dir, "labels")))
@@ -96,6 +101,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bwt_dedup": op1_bwt_dedup,
     "op2_quality": op2_quality,
     "op3_url_filters": op3_url_filters,
     "op4_token_counts": op4_token_counts,
