@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks a worker remembers; beyond it the memory starts anew (results are the same).
-KEPT = 400_000
+KEPT = 600_000
 #: Longer chunks are not remembered.
 LONGEST = 256
 #: Bytes of text in one batch for the library.
@@ -24,20 +26,33 @@ BATCH_BYTES = 1 << 20
 #: A blank between two non-blanks: byte-level BPE always begins a piece with that blank.
 BLANK = re.compile(r"(?<=\S) (?=\S)")
 
-_loaded: dict[str, object] = {}
+
+def worker_store() -> dict:
+    """A dictionary that lives as long as the worker process: functions sent to it bring their own globals each time."""
+    name = "spendlens_llm_worker"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
+
+
+def kept(key: str, make: Callable):
+    """What ``make`` gives, made once for each worker."""
+    store = worker_store()
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 def tokenizer(path: str):
     """The tokenizer of a ``.json`` file, without truncation or padding, loaded once for each worker."""
-    if path not in _loaded:
+    def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
         made.no_truncation()
         made.no_padding()
-        _loaded[path] = made
-    return _loaded[path]
+        return made
+
+    return kept(f"tokenizer {path}", load)
 
 
 def by_bytes(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
@@ -58,29 +73,19 @@ class Memo:
     """What ``encode`` gives for chunks: looked up, and computed in batches for those not met before."""
 
     def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known = encode, {}
+        self.encode, self.known, self.long = encode, {}, []
 
     def of(self, chunks: list[list[str]]) -> dict:
-        """The results for all chunks of some texts."""
+        """The results for all chunks of some texts, until the next call."""
+        for chunk in self.long:
+            self.known.pop(chunk, None)
         if len(self.known) > KEPT:
             self.known = {}
-        new = set().union(*chunks).difference(self.known)
-        once = {}
-        for batch in by_bytes(sorted(new, key=len)):  # of like length, and short ones first
-            for chunk, got in zip(batch, self.encode(batch), strict=True):
-                (self.known if len(chunk) <= LONGEST else once)[chunk] = got
-        return _Both(self.known, once)
-
-
-class _Both(dict):
-    """Lookups in two dictionaries without copying the large one."""
-
-    def __init__(self, large: dict, small: dict):
-        super().__init__(small)
-        self.large = large
-
-    def __missing__(self, key):
-        return self.large[key]
+        new = sorted(set().union(*chunks).difference(self.known), key=len)  # of like length in one batch
+        for batch in by_bytes(new):
+            self.known.update(zip(batch, self.encode(batch), strict=True))
+        self.long = [c for c in new if len(c) > LONGEST]
+        return self.known
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

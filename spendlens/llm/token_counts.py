@@ -16,15 +16,12 @@ from pyspark.sql import functions as F
 
 from . import chunks
 
-_memos: dict[str, chunks.Memo] = {}
-
 
 def _memo(path: str) -> chunks.Memo:
     """Chunk -> number of tokens, for the worker."""
-    if path not in _memos:
-        coder = chunks.tokenizer(path)
-        _memos[path] = chunks.Memo(lambda batch: [len(e) for e in coder.encode_batch_fast(batch, add_special_tokens=False)])
-    return _memos[path]
+    coder = chunks.tokenizer(path)
+    count = lambda batch: [len(e) for e in coder.encode_batch_fast(batch, add_special_tokens=False)]
+    return chunks.kept(f"counts {path}", lambda: chunks.Memo(count))
 
 
 def safe_pieces(text: str) -> list[str]:

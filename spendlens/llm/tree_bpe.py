@@ -14,7 +14,9 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from . import chunks
 
 #: White space that the tokenizer drops and that no normal form joins with its neighbours.
 SPACE = re.compile(r"[ \t\n\r]+")
+#: Fixed pattern: the pieces in which the tokenizer merges lower-case text, and the characters (to U+00FF) it is used for.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile("[!-~\xa1-\xff]+")
 #: Longer pieces that the tokenizer merges as a whole go through the tree.
 LEAF = 128
 #: Tokens on either side in the first window.
@@ -92,6 +97,7 @@ class Coder:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mark = self.tok.model.end_of_word_suffix or ""
+        self.memo = chunks.Memo(lambda batch: [e.ids for e in self.tok.encode_batch_fast(batch, add_special_tokens=False)])
 
     def symbols(self, piece: str) -> list[Token]:
         """Tokens of one merged piece with the symbols each of them spans."""
@@ -109,11 +115,25 @@ class Coder:
                     ids += [i for i, _ in found]
         return ids
 
+    def pieces(self, run: str) -> list[str] | None:
+        """The pieces that a run of Latin letters, digits and signs is merged in; None for other runs.
+
+        Such text has one normal form but for its case, and holds no special string.
+        """
+        return PIECES.findall(run.lower()) if len(run) <= self.leaf and PLAIN.fullmatch(run) and "<|" not in run else None
+
     def encode(self, runs: list[str]) -> list[list[int]]:
         """Ids of each run: short ones by the library's batches, long ones by the tree."""
-        short = [r for r in runs if len(r) <= self.leaf]
+        pieces = [self.pieces(r) for r in runs]
+        known = self.memo.of([p for p in pieces if p])
+        short = [r for r, p in zip(runs, pieces, strict=True) if p is None and len(r) <= self.leaf]
         got = iter(self.tok.encode_batch_fast(short, add_special_tokens=False))
-        return [next(got).ids if len(r) <= self.leaf else self.run(r) for r in runs]
+        return [[i for x in p for i in known[x]] if p is not None else next(got).ids if len(r) <= self.leaf else self.run(r)
+                for r, p in zip(runs, pieces, strict=True)]
+
+    def packed(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run as little-endian 32-bit integers."""
+        return [np.array(i, "<u4").tobytes() for i in self.encode(runs)]
 
     def told(self, runs: list[str]) -> list[tuple[int, str, str]]:
         """Of each run: number of ids, the ids as text, and what the library decodes them to."""
@@ -121,18 +141,16 @@ class Coder:
         return [(len(x), " ".join(map(str, x)), d) for x, d in zip(ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True)]
 
 
-_memos: dict[tuple[str, str], chunks.Memo] = {}
-
-
 def memo(path: str, what: str) -> chunks.Memo:
     """Run -> what a Coder's method gives for it, for the worker."""
-    if (path, what) not in _memos:
-        _memos[path, what] = chunks.Memo(getattr(Coder(path), what))
-    return _memos[path, what]
+    return chunks.kept(f"{what} {path}", lambda: chunks.Memo(getattr(Coder(path), what)))
 
 
 def runs_of(text: str) -> list[str]:
-    return [r for r in SPACE.split(text) if r]
+    """The text cut at white space. The characters 1C to 1F, which Python takes for such, are not."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [r for r in SPACE.split(text) if r]
+    return text.split()
 
 
 def encode_texts(texts: list[str], path: str) -> list[list[int]]:
