@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bwt_dedup, decontam, gray_simhash, pu_quality, rp_forest, token_counts, tree_bpe, url_filters, warc
+from . import bwt_dedup, decontam, gray_simhash, pu_quality, repair_ids, rp_forest, token_counts, tree_bpe, url_filters, warc
 
 #: The rules that the url query judges by.
 URL_RULES = [
@@ -82,6 +82,11 @@ def op6_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_simhash.simhash_components(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to grammar-compressed files and read back."""
+    return repair_ids.read_ids(repair_ids.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2))
+
+
 def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return rp_forest.embedding_components(table(spark, sf_dir, "embeddings"), cosine=0.98)
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_tree_bpe": op5_tree_bpe,
     "op6_gray_simhash": op6_gray_simhash,
+    "op7_repair_ids": op7_repair_ids,
     "op8_rp_forest": op8_rp_forest,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
