@@ -29,7 +29,8 @@ from .common import stored
 #: Statistics of a text of this many bytes count half as far from the mean as those of a very long one.
 HALF_BYTES = 150
 PASSES_PRIOR, PASSES_RISK = 8, 14
-RIDGE = 1e-3
+#: Pull of the weights to zero, and what is added to it over the number of positives.
+RIDGE, RIDGE_FEW = 1e-3, 2.0
 #: Parts of the score range in the histograms of the prior's estimate.
 BINS = 1000
 #: Partial sums left for the driver, whatever the number of tasks.
@@ -111,7 +112,7 @@ def loss(z: np.ndarray) -> np.ndarray:
 
 
 def feature_table(docs: DataFrame, positives: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, positive boolean, x array<float>) for every row, written to the shared folder."""
+    """(key, positive boolean, fold 0 or 1, x array<float>) for every row, written to the shared folder."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +125,19 @@ def feature_table(docs: DataFrame, positives: DataFrame, key: str, text: str) ->
     kind = rows.schema["key"].dataType.simpleString()
     trusted = positives.select(F.col(f"`{key}`").alias("key")).where("key is not null").distinct().withColumn("positive", F.lit(True))
     return stored(rows.mapInArrow(known, f"key {kind}, x array<float>").join(trusted, "key", "left")
-                  .select("key", F.coalesce("positive", F.lit(False)).alias("positive"), "x"), "statistics")
+                  .select("key", F.coalesce("positive", F.lit(False)).alias("positive"), F.pmod(F.xxhash64("key"), F.lit(2)).alias("fold"), "x"),
+                  "statistics")
 
 
 def _total(table: DataFrame, part, size: int) -> np.ndarray:
-    """The sum of ``part(x, positive)``, a vector of ``size``, over all rows."""
+    """The sum of ``part(x, positive, fold)``, a vector of ``size``, over all rows."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(float)
-                total += part(x, batch.column("positive").to_numpy(zero_copy_only=False).astype(bool))
+                total += part(x, batch.column("positive").to_numpy(zero_copy_only=False).astype(bool), batch.column("fold").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,36 +147,51 @@ def _total(table: DataFrame, part, size: int) -> np.ndarray:
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    sums = table.select("positive", "x").mapInArrow(partial, "v binary").repartition(PARTIALS).mapInArrow(add, "v binary").collect()
+    sums = table.select("positive", "fold", "x").mapInArrow(partial, "v binary").repartition(PARTIALS).mapInArrow(add, "v binary").collect()
     return sum((np.frombuffer(r.v) for r in sums), np.zeros(size))
 
 
-def _solve(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(hessian + RIDGE * np.eye(len(gradient)), gradient)
+def _solve(hessian: np.ndarray, gradient: np.ndarray, ridge: float) -> np.ndarray:
+    return np.linalg.solve(hessian + ridge * np.eye(len(gradient)), gradient)
 
 
-def estimate_prior(table: DataFrame, model: Model, n_pos: float, n_all: float) -> float:
-    """The share of positives among all texts, from a classifier of positives against all."""
+def estimate_prior(table: DataFrame, model: Model, n_pos: float, n_all: float, ridge: float) -> float:
+    """The share of positives among all texts, from classifiers of positives against all.
+
+    Two models are fitted in the same passes, each on one half of the rows; each ranks the other
+    half, so that what a model remembers of its own positives does not lower the estimate.
+    """
     d = WIDTH + 1
+    models, moved = [model, model], 1.0
     for _ in range(PASSES_PRIOR):
-        def part(x, positive, m=model):
-            z = m.inputs(x)
-            p = sigmoid(z @ m.weights)
-            h = p * (1 - p)
-            # each text counts as unlabelled, a positive once more as positive; both sides weigh the same
-            zp, pp, hp = z[positive], p[positive], h[positive]
-            g = z.T @ p / n_all - zp.T @ (1 - pp) / n_pos
-            return np.concatenate([g, ((z * h[:, None]).T @ z / n_all + (zp * hp[:, None]).T @ zp / n_pos).ravel()])
-
-        got = _total(table, part, d + d * d)
-        step = _solve(got[d:].reshape(d, d), got[:d] + RIDGE * model.weights)
-        model = Model(model.center, model.scale, model.weights - step, 0)
-        if np.abs(step).max() < 1e-3:
+        def part(x, positive, fold, models=tuple(models)):
+            out = []
+            for k, m in enumerate(models):
+                z, own = m.inputs(x[fold == k]), positive[fold == k]
+                p = sigmoid(z @ m.weights)
+                h = p * (1 - p)
+                # each text counts as unlabelled, a positive once more as positive; both sides weigh the same
+                zp, pp, hp = z[own], p[own], h[own]
+                g = z.T @ p / n_all - zp.T @ (1 - pp) / n_pos
+                out += [2 * g, 2 * ((z * h[:, None]).T @ z / n_all + (zp * hp[:, None]).T @ zp / n_pos).ravel()]
+            return np.concatenate(out)
+
+        got = _total(table, part, 2 * (d + d * d)).reshape(2, -1)
+        moved = 0.0
+        for k, m in enumerate(models):
+            step = _solve(got[k, d:].reshape(d, d), got[k, :d] + ridge * m.weights, ridge)
+            step *= min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
+            models[k], moved = Model(m.center, m.scale, m.weights - step, 0), max(moved, np.abs(step).max())
+        if moved < 1e-3:
             break
 
-    def histogram(x, positive, m=model):
-        at = np.minimum((m.score(x) * BINS).astype(int), BINS - 1)
-        return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at[positive], minlength=BINS)])
+    def histogram(x, positive, fold, models=tuple(models)):
+        out = np.zeros((2, BINS))
+        for k, m in enumerate(models):
+            at = np.minimum((m.score(x[fold != k]) * BINS).astype(int), BINS - 1)
+            out[0] += np.bincount(at, minlength=BINS)
+            out[1] += np.bincount(at[positive[fold != k]], minlength=BINS)
+        return out.ravel()
 
     counts = _total(table, histogram, 2 * BINS)
     above_all, above_pos = (np.cumsum(c[::-1]) for c in (counts[:BINS], counts[BINS:]))
@@ -187,7 +204,7 @@ def estimate_prior(table: DataFrame, model: Model, n_pos: float, n_all: float) -
 
 def fit(table: DataFrame) -> Model:
     """The model of a :func:`feature_table`; without positives one that scores every text 1."""
-    first = _total(table, lambda x, positive: np.concatenate([x.sum(0), (x * x).sum(0), [len(x), positive.sum()]]), 2 * WIDTH + 2)
+    first = _total(table, lambda x, positive, fold: np.concatenate([x.sum(0), (x * x).sum(0), [len(x), positive.sum()]]), 2 * WIDTH + 2)
     n_all, n_pos = first[-2:]
     start = np.zeros(WIDTH + 1)
     if not n_pos:
@@ -197,12 +214,13 @@ def fit(table: DataFrame) -> Model:
     scale = np.sqrt(np.maximum(first[WIDTH:2 * WIDTH] / n_all - center ** 2, 0))
     scale[scale < 1e-6] = 1
     model = Model(center, scale, start, 0)
-    prior = estimate_prior(table, model, n_pos, n_all)
+    ridge = RIDGE + RIDGE_FEW / n_pos
+    prior = estimate_prior(table, model, n_pos, n_all, ridge)
     start = start.copy()
     start[-1] = np.log(prior / (1 - prior))
     model, d = Model(center, scale, start, prior), WIDTH + 1
     for _ in range(PASSES_RISK):
-        def part(x, positive, m=model):
+        def part(x, positive, fold, m=model):
             z = m.inputs(x)
             g = z @ m.weights
             p = sigmoid(g)
@@ -216,9 +234,9 @@ def fit(table: DataFrame) -> Model:
         negative_risk = got[3 * d] - prior * got[3 * d + 1]
         hessian = got[3 * d + 2:].reshape(d, d)
         if negative_risk < 0:  # the bound holds: climb back until the estimate is not negative
-            step = -0.5 * _solve(hessian, unlabelled - prior * positive_as_negative)
+            step = -0.5 * _solve(hessian, unlabelled - prior * positive_as_negative, ridge)
         else:
-            step = _solve(hessian, unlabelled - prior * positive + RIDGE * model.weights)
+            step = _solve(hessian, unlabelled - prior * positive + ridge * model.weights, ridge)
         step *= min(1.0, 2.0 / np.abs(step).max()) if step.any() else 1
         model = Model(center, scale, model.weights - step, prior)
         if np.abs(step).max() < 1e-3:
