@@ -2,8 +2,8 @@
 
 Both map per-(user, key) group statistics back onto every row.  Groups are a
 grouped aggregate (partial + final, so a huge user or merchant is combined
-map-side) joined back on the keys; a NULL key finds no group, which matches
-the pandas behaviour of the reference (NaN keys are dropped by ``groupby``).
+map-side) joined back on the keys and a salt (``joinback``), so a hot key does
+not land in one task; a NULL key finds no group, as in a pandas ``groupby``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.operators.joinback import join_back
+
 # fixed value: merchant placeholder of feature set B
 UNKNOWN_MERCHANT = "UNKNOWN_MERCHANT"
 
@@ -20,7 +22,7 @@ def group_stats(df: DataFrame, keys: list[str], value: str, prefix: str) -> Data
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_count"),
                                   F.avg(value).alias(f"{prefix}_mean"),
                                   F.stddev_samp(value).alias(f"{prefix}_std"))
-    return df.join(stats, keys, "left")
+    return join_back(df, stats, keys)
 
 
 def _weekday_day(ts: Column) -> list[Column]:
@@ -58,7 +60,7 @@ def features_b(txn: DataFrame, user_col: str = "user_id") -> DataFrame:
     d = group_stats(d, [user_col, "merchant_b"], "amount", "mb")
     d = group_stats(d, [user_col, "category"], "amount", "cb")
     totals = d.groupBy(user_col).agg(F.count(F.lit(1)).alias("__total"))
-    d = d.join(totals, user_col)
+    d = join_back(d, totals, [user_col], null_safe=True)
 
     def z(prefix: str) -> Column:
         n, sd = F.col(f"{prefix}_count"), F.col(f"{prefix}_std")

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins/partition counts at runtime
 # and splits skewed join partitions (a user, file or term may hold a third of
@@ -57,20 +58,32 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names; set one only if unset."""
+    """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    Unset on a cluster is an error: executors would write to their own disks.
+    A single-machine session (tests, benchmark) shares its local disk with all
+    its tasks, so there, and only there, an unset folder is made.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    # test-only fallback: no cluster-provided folder
-    path = tempfile.mkdtemp(prefix="spendlens-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="spendlens-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "spendlens", name)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read back: lineage
+    is cut, and later steps scan only the columns they use."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
