@@ -103,28 +103,21 @@ def _compare(cosine: float):
         own_leaf, one, two = key
         x = _unit(list(pdf["packed"]))
         rep, n, block = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["block"].to_numpy()
-        depth = int(pdf["leaves"].str.len().max())
-        held = np.array([list(v) + [own_leaf] * (depth - len(v)) for v in pdf["leaves"]], np.int64)
-        counts, a_all, b_all = np.zeros(len(pdf), np.int64), [], []
-        for start in range(0, len(pdf), 512):
-            near = x[start:start + 512] @ x.T >= cosine
-            i, j = np.nonzero(near)
-            i += start
-            keep = (i < j) & ((block[i] != block[j]) if one != two else True)
-            i, j = i[keep], j[keep]
-            a_all.append(i)
-            b_all.append(j)
-            # a pair that meets in several leaves counts in the one with the smallest id
-            first = np.ones(len(i), bool)
-            for p in range(depth):
-                mine = held[i, p]
-                first &= ~((mine < own_leaf) & (held[j] == mine[:, None]).any(axis=1))
-            np.add.at(counts, i[first], n[j[first]])
-            np.add.at(counts, j[first], n[i[first]])
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
+        near = x @ x.T >= cosine
+        if one != two:
+            near &= block[:, None] != block[None, :]
+        np.fill_diagonal(near, False)
+        # a pair that meets in several leaves counts in the one with the smallest id
+        owner = np.repeat(np.arange(len(pdf)), pdf["leaves"].str.len())
+        held = np.concatenate(list(pdf["leaves"]))
+        earlier = held < own_leaf
+        _, which = np.unique(held[earlier], return_inverse=True)
+        member = np.zeros((len(pdf), which.max() + 1 if len(which) else 1), np.float32)
+        member[owner[earlier], which] = 1
+        counts = (near & (member @ member.T == 0)) @ n
+        a, b = np.nonzero(np.triu(near))
         root = smallest_reachable(len(pdf), a, b)
-        linked = np.zeros(len(pdf), bool)
-        linked[a] = linked[b] = True
+        linked = near.any(axis=1)
         return pd.DataFrame({"rep": rep[linked], "count": counts[linked], "root": rep[root][linked]})
 
     return compare
