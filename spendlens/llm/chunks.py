@@ -16,8 +16,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks a worker remembers; beyond it the memory starts anew (results are the same).
-KEPT = 600_000
+#: Chunks a worker remembers at least, and twice as many at most (results are the same whatever it is).
+KEPT = 350_000
 #: Longer chunks are not remembered.
 LONGEST = 256
 #: Bytes of text in one batch for the library.
@@ -73,15 +73,18 @@ class Memo:
     """What ``encode`` gives for chunks: looked up, and computed in batches for those not met before."""
 
     def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known, self.long = encode, {}, []
+        self.encode, self.known, self.older, self.long = encode, {}, {}, []
 
     def of(self, chunks: list[list[str]]) -> dict:
         """The results for all chunks of some texts, until the next call."""
         for chunk in self.long:
             self.known.pop(chunk, None)
-        if len(self.known) > KEPT:
-            self.known = {}
-        new = sorted(set().union(*chunks).difference(self.known), key=len)  # of like length in one batch
+        if len(self.known) > KEPT:  # what is met again comes back from the older half
+            self.known, self.older = {}, self.known
+        new = set().union(*chunks).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new = sorted(new - again, key=len)  # of like length in one batch
         for batch in by_bytes(new):
             self.known.update(zip(batch, self.encode(batch), strict=True))
         self.long = [c for c in new if len(c) > LONGEST]
