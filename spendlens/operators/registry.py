@@ -64,18 +64,25 @@ def _dir(base: str, model: str, version: int | None = None) -> str:
     return os.path.join(base, model) if version is None else os.path.join(base, model, str(version))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def table_path(base: str, model: str, version: int, name: str) -> str:
+    """Where a version's artefact of that name lies."""
+    return os.path.join(_dir(base, model, version), name)
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path fits the pattern.  Only absence is an answer: a folder
+    that cannot be read raises."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def list_versions(spark: SparkSession, base: str, model: str) -> DataFrame:
+    """The metadata rows of all versions; empty only when none was ever saved."""
     path = os.path.join(_dir(base, model), "*", "_meta")
-    try:
-        return spark.read.schema(META_SCHEMA).parquet(path)
-    except Exception:  # no version yet
+    if not exists(spark, path):
         return spark.createDataFrame([], META_SCHEMA)
+    return spark.read.schema(META_SCHEMA).parquet(path)
 
 
 def next_version(spark: SparkSession, base: str, model: str) -> int:
@@ -101,7 +108,7 @@ def save_version(spark: SparkSession, base: str, model: str, version: int,
 
 def active_version(spark: SparkSession, base: str, model: str) -> int | None:
     path = os.path.join(_dir(base, model), "_active")
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     row = spark.read.parquet(path).first()
     return int(row[0]) if row else None
@@ -124,20 +131,6 @@ def maybe_promote(spark: SparkSession, base: str, model: str, version: int,
     return True
 
 
-def load_active(spark: SparkSession, base: str, model: str, names: list[str]):
-    """M9: (tables, metadata) of the active version, or (None, None) when no
-    version is active or an artifact is missing (never raises)."""
-    v = active_version(spark, base, model)
-    if v is None:
-        return None, None
-    d = _dir(base, model, v)
-    if not all(_exists(spark, os.path.join(d, n)) for n in names):
-        return None, None
-    tables = {n: spark.read.parquet(os.path.join(d, n)) for n in names}
-    meta = list_versions(spark, base, model).where(F.col("version") == v).first()
-    return tables, (meta.asDict() if meta else None)
-
-
 def log_runs(spark: SparkSession, base: str, rows: list[tuple]) -> None:
     """Append (run, model_type, dataset_rows, seed, metric, value) rows."""
     df = spark.createDataFrame(rows, "run string, model_type string, dataset_rows bigint, "

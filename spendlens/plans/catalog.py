@@ -80,9 +80,8 @@ from spendlens.operators import textclass as tc  # noqa: E402
 
 def _text(spark, sf_dir, keep_clean: bool = False):
     """Prepared documents, materialised once: only what later steps read."""
-    d = tc.prepare(views.labelled_text(spark, sf_dir)).withColumn("is_test", tc.split_flag("id"))
-    cols = ["id", "category", "is_test", "terms"] + (["clean_description"] if keep_clean else [])
-    return tc.materialize(d.select(*cols))
+    cols = ["id", "category", "terms"] + (["clean_description"] if keep_clean else [])
+    return tc.stratified_split(tc.materialize(tc.prepare(views.labelled_text(spark, sf_dir)).select(*cols)))
 
 
 def _nb(spark, sf_dir):
@@ -106,8 +105,8 @@ def q_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("text_split")
 def q_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: deterministic 80/20 split (seed 42)."""
-    return views.labelled_text(spark, sf_dir).select("id", "category", tc.split_flag("id").alias("is_test"))
+    """M3: deterministic stratified 80/20 split (seed 42)."""
+    return tc.stratified_split(views.labelled_text(spark, sf_dir).select("id", "category"))
 
 
 @register("class_balance")

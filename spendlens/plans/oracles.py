@@ -130,7 +130,9 @@ _TEXT = duckdb_with("labelled_text") + r"""
     array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(description),
       '\b\d{4,}\b', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+'),
       lambda x: x <> '' and x not in ('upi','pos','neft','imps','ref','txn','wdl','no')), ' ') as clean_description,
-    (('0x' || substr(md5(id::varchar || '|42'), 1, 8))::bigint % 5) = 0 as is_test
+    row_number() over (partition by category order by md5(id::varchar || '|42'), id)
+      <= (case when count(*) over (partition by category) >= 2
+               then greatest(1, floor(count(*) over (partition by category) / 5 + 0.5)) else 0 end) as is_test
   from labelled_text),
 toks as (select *, list_filter(string_split(clean_description, ' '), lambda x: length(x) >= 2) as u from clean),
 docs as (select id, category, is_test, clean_description, len(u) as n_u,

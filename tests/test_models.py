@@ -4,7 +4,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from spendlens.operators import forest
+from spendlens.operators import forest, registry
+from spendlens.operators import textclass as tc
+from spendlens.operators.expanding import FEATURE_NAMES
+from spendlens.plans import detect as det
 from spendlens.operators.explain import with_reasons
 from spendlens.plans import train
 from spendlens.sources.labelled import load_labelled_history, load_labelled_text
@@ -40,17 +43,58 @@ def test_population_scaler(spark):
 def test_train_promote_evaluate_categorizer(spark, sf, tmpdir_path):
     base = os.path.join(tmpdir_path, "models")
     assert train.load_categorizer(spark, base) is None          # not ready -> fallback
+    assert [r.is_ready for r in train.models_status(spark, base).collect()] == [False, False]
     docs = views.labelled_text(spark, sf)
     r1 = train.train_categorizer(spark, docs, base)
-    assert r1["version"] == 1 and r1["promoted"]
+    assert r1["version"] == 1 and r1["promoted"] and r1["model_type"] in train.CANDIDATES
+    runs = spark.read.parquet(os.path.join(base, "_runs"))
+    assert {r.model_type for r in runs.collect()} == set(train.CANDIDATES)
     m = train.evaluate_categorizer(spark, base, docs)
     assert 0.5 <= m["macro_f1"] <= 1.0
-    model = train.load_categorizer(spark, base)
-    assert model is not None and len(model.classes) >= 2
+    assert {"accuracy", "macro avg", "weighted avg"} <= {r.label for r in m["report"].collect()}
+    status = {r.model_name: r for r in train.models_status(spark, base).collect()}
+    assert status[train.CLASSIFIER].is_ready and status[train.CLASSIFIER].active_version == 1
     with pytest.raises(ValueError):
         train.evaluate_categorizer(spark, base, docs, version=9)
 
 
+def test_every_kind_of_classifier_survives_a_reload(spark, sf, tmpdir_path):
+    base = os.path.join(tmpdir_path, "models")
+    docs = views.labelled_text(spark, sf)
+    prepared = tc.prepare(docs).select("id", "terms")
+    for n, candidate in enumerate(train.fit_candidates(spark, docs), start=1):
+        assert train.save_categorizer(spark, base, candidate) == n
+        again = train.read_categorizer(spark, base, n)
+        assert again.kind == candidate.model.kind
+        before = {r.id: (r.predicted, round(r.confidence, 9)) for r in candidate.model.predict(prepared).collect()}
+        after = {r.id: (r.predicted, round(r.confidence, 9)) for r in again.predict(prepared).collect()}
+        assert before == after and len(after) == docs.count()
+
+
+def test_detector_survives_a_reload(spark, sf, tmpdir_path):
+    base = os.path.join(tmpdir_path, "models")
+    txn = views.txn_star(spark, sf)
+    r = train.train_anomaly_detector(spark, txn, base)
+    model = train.load_detector(spark, base)
+    assert model.features == FEATURE_NAMES
+    feat = det.feature_table(txn, extra=["is_injected_anomaly"])
+    again = forest.decision(model, feat)
+    fresh, scored = det.train_detector(feat)
+    a = {x.transaction_id: round(x.decision, 9) for x in again.select("transaction_id", "decision").collect()}
+    b = {x.transaction_id: round(x.decision, 9) for x in scored.select("transaction_id", "decision").collect()}
+    assert a == b
+    assert train.evaluate_detector(spark, base, txn) == pytest.approx(r["metrics"])
+
+
+def test_an_unreadable_registry_is_no_empty_one(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "models")
+    os.makedirs(os.path.join(base, train.CLASSIFIER, "1", "_meta"))
+    with open(os.path.join(base, train.CLASSIFIER, "1", "_meta", "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        registry.next_version(spark, base, train.CLASSIFIER)
+
+
 def test_labelled_loaders(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "t.csv")
     with open(p, "w") as f:
