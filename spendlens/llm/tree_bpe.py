@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,6 +91,10 @@ def encode_long(symbols: str, encode: Callable[[str], list[Token]], leaf: int =
     return level[0][1] if level else []
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class Coder:
     """Encodes and decodes runs without white space as the tokenizer of ``path`` does."""
 
@@ -97,7 +103,7 @@ class Coder:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mark = self.tok.model.end_of_word_suffix or ""
-        self.memo = chunks.Memo(lambda batch: [e.ids for e in self.tok.encode_batch_fast(batch, add_special_tokens=False)])
+        self.memo = chunks.Memo(self.library)
 
     def symbols(self, piece: str) -> list[Token]:
         """Tokens of one merged piece with the symbols each of them spans."""
@@ -122,18 +128,21 @@ class Coder:
         """
         return PIECES.findall(run.lower()) if len(run) <= self.leaf and PLAIN.fullmatch(run) and "<|" not in run else None
 
-    def encode(self, runs: list[str]) -> list[list[int]]:
-        """Ids of each run: short ones by the library's batches, long ones by the tree."""
+    def packed(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run as little-endian 32-bit integers: short ones by the library's batches, long ones by the tree."""
         pieces = [self.pieces(r) for r in runs]
         known = self.memo.of([p for p in pieces if p])
         short = [r for r, p in zip(runs, pieces, strict=True) if p is None and len(r) <= self.leaf]
-        got = iter(self.tok.encode_batch_fast(short, add_special_tokens=False))
-        return [[i for x in p for i in known[x]] if p is not None else next(got).ids if len(r) <= self.leaf else self.run(r)
+        got = iter(self.library(short))
+        return [b"".join(map(known.__getitem__, p)) if p is not None else next(got) if len(r) <= self.leaf else _bytes(self.run(r))
                 for r, p in zip(runs, pieces, strict=True)]
 
-    def packed(self, runs: list[str]) -> list[bytes]:
-        """Ids of each run as little-endian 32-bit integers."""
-        return [np.array(i, "<u4").tobytes() for i in self.encode(runs)]
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [_bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, runs: list[str]) -> list[list[int]]:
+        """Ids of each run."""
+        return [np.frombuffer(b, "<u4").tolist() for b in self.packed(runs)]
 
     def told(self, runs: list[str]) -> list[tuple[int, str, str]]:
         """Of each run: number of ids, the ids as text, and what the library decodes them to."""
@@ -156,8 +165,8 @@ def runs_of(text: str) -> list[str]:
 def encode_texts(texts: list[str], path: str) -> list[list[int]]:
     """Ids of each text, without added special tokens."""
     runs = [runs_of(t) for t in texts]
-    known = memo(path, "encode").of(runs)
-    return [[i for r in own for i in known[r]] for own in runs]
+    known = memo(path, "packed").of(runs)
+    return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4").tolist() for own in runs]
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
