@@ -6,8 +6,9 @@ categorisation (M8, F11) -> append transactions (S8) -> append ledger (S9)
 -> re-scan affected users (M17, best effort).
 
 Transactions are written before the ledger, so a crash in between leaves
-rows without a ledger entry (re-import possible) rather than a ledger entry
-blocking a re-import of rows that were never stored.
+rows without a ledger entry rather than a ledger entry blocking a re-import of
+rows that were never stored; a replay finds their ``import_id`` and does not
+append them again.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.operators.registry import exists
 from spendlens.operators.statement import (ERR_FILE_EMPTY, file_error, first_uploads,
                                            import_summary, parse_rows)
+from spendlens.session import stored
 from spendlens.sources.statements import accepted, gate, split_records
 
 log = logging.getLogger(__name__)
 
 UNCATEGORIZED = "Uncategorized"   # fixed value (reference fallback category)
+REJECT_NO_USER = "The file belongs to no user."
 
 
 @dataclass
@@ -37,11 +41,11 @@ class Store:
         return os.path.join(self.base, name)
 
     def read(self, spark: SparkSession, name: str, schema: str | None = None) -> DataFrame | None:
+        """The table; only one that does not exist is empty (or None), a read error raises."""
         p = self.path(name)
-        try:
+        if exists(spark, p):
             return spark.read.parquet(p)
-        except Exception:
-            return spark.createDataFrame([], schema) if schema else None
+        return spark.createDataFrame([], schema) if schema else None
 
 
 LEDGER_SCHEMA = ("user_id string, file_hash string, import_id string, filename string, status string, "
@@ -56,7 +60,7 @@ def categorize(rows: DataFrame, model=None) -> DataFrame:
             "category_confidence", F.lit(0.0))
     from spendlens.operators import textclass as tc
     docs = tc.prepare(rows.select(F.col("transaction_id").alias("id"), F.col("description")))
-    pred = tc.predict_naive_bayes(model, docs)
+    pred = tc.predict_naive_bayes(model, docs) if isinstance(model, tc.NaiveBayesModel) else model.predict(docs)
     return (rows.join(pred.withColumnRenamed("id", "transaction_id"), "transaction_id", "left")
                 .withColumn("category", F.coalesce("predicted", F.lit(UNCATEGORIZED)))
                 .withColumn("category_confidence", F.coalesce("confidence", F.lit(0.0)))
@@ -76,13 +80,20 @@ def prepare_import(spark: SparkSession, files: DataFrame, ledger: DataFrame | No
     acc = acc.withColumn("user_id", F.col("user_id").cast("string")) \
              .withColumn("file_seq", F.concat(F.lpad(F.unix_micros("modificationTime").cast("string"), 20, "0"),
                                               F.lit("|"), F.col("path")))
-    dedup = first_uploads(acc, ledger.select("user_id", "file_hash", F.lit("").alias("file_seq"))
+    no_user = acc.where("user_id is null").select("path", F.lit(REJECT_NO_USER).alias("reject_reason"))
+    acc = acc.where("user_id is not null")
+    # duplicates are decided on keys alone; the bytes of the files that are kept are read by one pass
+    dedup = first_uploads(acc.select("path", "user_id", "file_hash", "file_seq"), ledger.select("user_id", "file_hash", F.lit("").alias("file_seq"))
                           if ledger is not None else None)
     dup = dedup.where(~F.col("accepted")).select("path", F.lit("This file was already imported").alias(
         "reject_reason"))
-    fresh = dedup.where("accepted").drop("accepted", "duplicate_of")
-    recs = split_records(fresh.select("path", "content", "user_id", "file_hash"))
-    recs = recs.withColumn("file_error", file_error("header"))
+    fresh = acc.select("path", "content", "user_id", "file_hash", "file_seq").join(
+        dedup.where("accepted").select("path"), "path", "left_semi")
+    # parsed once: transactions, summary and rejects are all read from these rows
+    recs = stored(split_records(fresh), "records")
+    recs = recs.join(recs.where("read_error is not null").select("path").distinct(), "path", "left_anti") \
+        .unionByName(recs.where("read_error is not null"))
+    recs = recs.withColumn("file_error", F.coalesce("read_error", file_error("header")))
     recs = recs.withColumn("file_error", F.coalesce(
         "file_error", F.when(F.col("row_num").isNull(), F.lit(ERR_FILE_EMPTY))))
     bad_files = recs.where(F.col("file_error").isNotNull()).select(
@@ -95,8 +106,9 @@ def prepare_import(spark: SparkSession, files: DataFrame, ledger: DataFrame | No
                .withColumn("created_at", F.current_timestamp()))
     txn = (parsed.where(F.col("error").isNull())
                  .withColumn("transaction_id", F.sha2(F.concat_ws("|", "import_id", F.col("row_num").cast("string")), 256))
-                 .withColumn("ingest_seq", F.col("row_num").cast("long")))
-    return txn, summary, rejected.unionByName(dup).unionByName(bad_files)
+                 # order of insertion: uploads by time and path, then the row in the file
+                 .withColumn("ingest_seq", F.concat("file_seq", F.lit("|"), F.lpad(F.col("row_num").cast("string"), 10, "0"))))
+    return txn, summary, rejected.unionByName(no_user).unionByName(dup).unionByName(bad_files)
 
 
 def run_import(spark: SparkSession, folder: str, store: Store, model=None,
@@ -117,12 +129,16 @@ def import_files(spark: SparkSession, files: DataFrame, store: Store, model=None
         "currency", "transaction_type", "category", "category_confidence", "import_id", "reference",
         "content_hash", "ingest_seq", F.lit(False).alias("is_anomaly"),
         F.lit(None).cast("double").alias("anomaly_score"), F.current_timestamp().alias("created_at"))
-    txn = txn.checkpoint()            # one parse, two writes + counts
+    done = store.read(spark, "transactions")
+    if done is not None:              # a crash between the two writes left rows without a ledger entry
+        txn = txn.join(done.select("import_id").distinct(), "import_id", "left_anti").select(*txn.columns)
+    txn = stored(txn, "transactions")  # one parse, two writes + counts
     n_rows = txn.count()
     if n_rows:                        # S8: empty -> no write
         txn.write.mode("append").parquet(store.path("transactions"))
     summary = summary.select("user_id", "file_hash", "import_id", "filename", "status", "total_rows",
                              "imported_rows", "failed_rows", "errors", "created_at")
+    summary = stored(summary, "summary")
     summary.write.mode("append").parquet(store.path("imports"))      # S9, after the rows
     result = {"transactions": n_rows, "imports": summary.count(), "rejected": rejected.count()}
     if detector is not None and n_rows:

@@ -309,7 +309,7 @@ from txn_star t left join scored s using (transaction_id)"""
 
 ORACLES["anomaly_replace"] = _W5 + """
 select user_id, transaction_id, 'previous' as source from txn_star
-where is_injected_anomaly = 1 and user_id not in (select user_id from scored)
+where is_injected_anomaly = 1 and user_id in (select user_id from txn_star group by user_id having count(*) < 10)
 union all
 select user_id, transaction_id, 'current' from scored where anomaly_score >= 0.75"""
 

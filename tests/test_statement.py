@@ -122,3 +122,39 @@ def test_import_end_to_end_duplicates_and_users(spark, tmpdir_path):
     assert r2["transactions"] == 0 and r2["rejected"] == 2
     t = spark.read.parquet(store.path("transactions"))
     assert t.count() == 2 and t.where(F.col("category") == "Uncategorized").count() == 2
+
+
+def test_faulty_files_are_rejected_and_the_rest_is_imported(spark, tmpdir_path):
+    from spendlens.plans.importer import REJECT_NO_USER, Store, prepare_import, run_import
+    import os
+    folder = os.path.join(tmpdir_path, "in")
+    good = "date,description,amount\n2026-01-05,SHOP,10\n"
+    files = {"a.csv": good, "cr.csv": good.replace("\n", "\r"), "nul.csv": good + '"2026-01-06,x,1', "big.csv": good + f"2026-01-06,{'y' * 200_000},5\n",
+             "e.csv": "", "t.txt": good}
+    for user in ("user_id=1", "user_id=__HIVE_DEFAULT_PARTITION__"):
+        os.makedirs(os.path.join(folder, user))
+    for n, (name, text) in enumerate(files.items()):
+        with open(os.path.join(folder, "user_id=1", name), "w", newline="") as f:
+            f.write(text.replace("SHOP", f"SHOP{n}"))
+    with open(os.path.join(folder, "user_id=__HIVE_DEFAULT_PARTITION__", "n.csv"), "w") as f:
+        f.write(good)
+    store = Store(os.path.join(tmpdir_path, "store"))
+    first = run_import(spark, folder, store)
+    rows = store.read(spark, "transactions")
+    assert {r.description for r in rows.collect()} >= {"SHOP0", "SHOP1", "y" * 200_000}
+    assert first["rejected"] == 2 and first["transactions"] == rows.count()
+    _, _, rejected = prepare_import(spark, spark.read.format("binaryFile").load(folder), None)
+    assert REJECT_NO_USER in {r.reject_reason for r in rejected.collect()}
+    # a crash between the two writes: rows are there, the ledger is not
+    import shutil
+    shutil.move(store.path("imports"), store.path("imports-lost"))
+    again = run_import(spark, folder, store)
+    assert again["transactions"] == 0 and store.read(spark, "transactions").count() == first["transactions"]
+    # a ledger that can't be read is no empty ledger
+    import pytest
+    shutil.rmtree(store.path("imports"))
+    os.makedirs(store.path("imports"))
+    with open(os.path.join(store.path("imports"), "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        run_import(spark, folder, store)
