@@ -131,6 +131,16 @@ def maybe_promote(spark: SparkSession, base: str, model: str, version: int,
     return True
 
 
+def load_active(spark: SparkSession, base: str, model: str, names: list[str]):
+    """M9: (tables, metadata) of the active version, or (None, None) when no
+    version is active or an artifact is missing."""
+    v = active_version(spark, base, model)
+    if v is None or not all(exists(spark, table_path(base, model, v, n)) for n in names):
+        return None, None
+    meta = list_versions(spark, base, model).where(F.col("version") == v).first()
+    return {n: spark.read.parquet(table_path(base, model, v, n)) for n in names}, (meta.asDict() if meta else None)
+
+
 def log_runs(spark: SparkSession, base: str, rows: list[tuple]) -> None:
     """Append (run, model_type, dataset_rows, seed, metric, value) rows."""
     df = spark.createDataFrame(rows, "run string, model_type string, dataset_rows bigint, "

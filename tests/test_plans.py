@@ -41,3 +41,32 @@ def test_first_errors_are_limited_before_the_shuffle(spark):
                                  "user_id string, file_id string, row_num int, error string")
     plan = _plan(import_summary(rows, ["user_id", "file_id"]))
     assert "WindowGroupLimit" in plan
+
+
+def test_a_hot_key_is_dealt_over_many_join_partitions(spark):
+    """A user with a third of all rows, broadcast and adaptive execution off:
+    the largest partition of the joined rows stays far below the hot user's size."""
+    from spendlens.operators.joinback import join_back
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+                                           "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        rows = spark.range(60000).selectExpr("id", "if(id % 3 = 0, 0, id) as user_id", "cast(id as double) as v")
+        stats = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+        out = join_back(rows, stats, ["user_id"])
+        sizes = [r[1] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        hot = out.where("user_id = 0").agg(F.max("n"), F.count("*")).first()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert tuple(hot) == (20000, 20000) and sum(sizes) == 60000
+    assert max(sizes) < 10000, sizes
+
+
+def test_rows_without_a_key_keep_their_group(spark):
+    from spendlens.operators.joinback import join_back
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id int, user_id string")
+    stats = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    assert {r.id: r.n for r in join_back(rows, stats, ["user_id"], null_safe=True).collect()} == {1: 1, 2: 2, 3: 2}
+    assert {r.id: r.n for r in join_back(rows, stats, ["user_id"]).collect()} == {1: 1, 2: None, 3: None}
