@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks a worker remembers at least, and twice as many at most (results are the same whatever it is).
-KEPT = 350_000
+KEPT = 120_000
 #: Longer chunks are not remembered.
 LONGEST = 256
 #: Bytes of text in one batch for the library.
