@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One pass counts in how many documents each word n-gram of the test items stands. Of every few
-neighbouring n-grams of an item the rarest becomes a seed, so each stretch of an item has one and
-common phrases seed nothing while a rarer n-gram is near. A second pass joins the texts to the
-seeds; each hit gives the passage around it where the item would lie, and a local alignment of
-words (match, mismatch, gap) scores it, so that edited copies are found as well as exact ones.
+One pass finds which word n-grams of the test items any document holds; each of them is a seed, so
+that whatever n-gram an edit leaves whole leads to the copy. A second pass joins the texts to the
+seeds; each hit gives the passage around it where the item would lie. Passages with too few of the
+item's words to reach the score are passed over (a bound, so no copy is lost), and a local alignment
+of words (match, mismatch, gap) scores the others, so that edited copies are found as well as exact
+ones. A copy of which no n-gram is whole has no seed and is not found.
 
 The items are the query set: they go to the tasks in blocks of bounded size, each block in a pass
 over all documents. Texts are never shuffled, and a passage that many documents share costs each
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from . import chunks
 from .common import stored
 
-#: Words in a seed, and neighbouring n-grams of which the rarest is one.
-GRAM, STRETCH = 3, 4
+#: Words in a seed.
+GRAM = 3
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of the item's full score, and words in agreement, from which a passage is a copy of the item (all its words if it has fewer).
@@ -159,13 +160,12 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> list[tuple[int
 class Matcher:
     """A block of items with their seeds, as it goes to the tasks."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray], seeds: list[tuple[int, int, int]]):
-        """seeds: (n-gram, which item, place in the item)."""
+    def __init__(self, ids: list[int], items: list[np.ndarray], grams: np.ndarray, where: np.ndarray):
+        """grams: the seeds' n-grams; where: for each of them (which item, place in the item)."""
         self.ids, self.items = ids, items
-        grams = np.array([s[0] for s in seeds], np.uint64)
         order = np.argsort(grams, kind="stable")
         self.lookup = Lookup(grams)
-        self.where = np.array([s[1:] for s in seeds], np.int64).reshape(-1, 2)[order]
+        self.where = where[order]
         self.first = np.append(np.searchsorted(grams[order], self.lookup.values), len(order))
 
     def copies(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
@@ -192,6 +192,7 @@ class Matcher:
             else:
                 jobs.append([d, i, a, b])
         best: dict[tuple[int, int], tuple] = {}
+        jobs = [j for j in jobs if self._may_be_copy(self.items[j[1]], words[j[2]:j[3]])]
         scored = align([self.items[j[1]] for j in jobs], [words[j[2]:j[3]] for j in jobs])
         for (d, i, a, b), (score, end) in zip(jobs, scored, strict=True):
             share = score / (MATCH * len(self.items[i]))
@@ -200,6 +201,12 @@ class Matcher:
                 best[d, i] = (d, i, share, int(first - starts[d]), int(a + end - starts[d]))
         return list(best.values())
 
+    @staticmethod
+    def _may_be_copy(item: np.ndarray, passage: np.ndarray) -> bool:
+        """Whether the item's words that stand in the passage are enough, were all of them to match in order."""
+        most = np.count_nonzero(np.isin(item, passage))
+        return most >= SCORE * len(item) and most >= min(AGREE, len(item))
+
 
 def _item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Items as word values, in blocks of bounded size: the driver holds one block at a time."""
@@ -218,34 +225,30 @@ def _item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tup
 
 
 def _seeds(docs: DataFrame, text: str, block: list[tuple[int, np.ndarray]]) -> tuple:
-    """What a Matcher is made of: a block of items and its seeds, by the documents in which its n-grams stand."""
+    """What a Matcher is made of: a block of items and its seeds, the n-grams that any document holds."""
     grams = [gram_hashes(words) for _, words in block]
     values = np.unique(np.concatenate(grams))
     sent, size = docs.sparkSession.sparkContext.broadcast(values), len(values)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lookup = np.zeros(size, np.int64), Lookup(sent.value)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, lookup = np.zeros(size, bool), Lookup(sent.value)
         for batch in batches:
             for part in chunks.text_slices(batch, "text", SLICE):
                 words, starts = many_hashes([t or "" for t in part.column("text").to_pylist()])
                 at, which = lookup.find(gram_hashes(words))
                 doc = np.searchsorted(starts, at, side="right") - 1
                 inside = at + GRAM <= starts[doc + 1]
-                # once for each document
-                total += np.bincount(np.unique(doc[inside] * size + which[inside]) % size, minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
+                seen[which[inside]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["gram"])
 
-    found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(size, np.int64)
+    found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(mark, "gram long").distinct()
+    held = np.zeros(size, bool)
     for row in stored(found, "grams").toLocalIterator():  # one row for each n-gram of the block at most
-        frequency[row.gram] = row.n
-    seeds = []
-    for i, own in enumerate(grams):
-        rare = frequency[np.searchsorted(values, own)]
-        picked = {min(range(a, min(a + STRETCH, len(own))), key=lambda k, r=rare: (r[k], k)) for a in range(max(1, len(own) - STRETCH + 1))}
-        seeds += [(int(own[k]), i, k) for k in sorted(picked)]
-    return [i for i, _ in block], [w for _, w in block], seeds
+        held[row.gram] = True
+    where = np.concatenate([np.stack([np.full(len(own), i), np.arange(len(own))], axis=1) for i, own in enumerate(grams)])
+    all_grams = np.concatenate(grams)
+    use = held[np.searchsorted(values, all_grams)]
+    return [i for i, _ in block], [w for _, w in block], all_grams[use], where[use]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

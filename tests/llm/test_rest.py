@@ -108,6 +108,31 @@ def test_copies_of_items(spark, odd_docs, no_docs, monkeypatch):
     assert decontam.contaminated(no_docs, bench).count() == 0
 
 
+def test_sole_copies_with_changed_words_are_found(spark):
+    """Every 4th, 5th or 6th word replaced or dropped, no other copy of the item: what plain alignment finds."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(8, 40)))) for i in range(60)]
+    docs = []
+    for i, text in items:
+        w, step, start = text.split(), 4 + i % 3, rng.randrange(4)
+        w[start::step] = [f"new{i}x{k}" for k in range(len(w[start::step]))]
+        if i % 2:
+            del w[start::step]
+        docs.append((i, " ".join([*(rng.choice(words) for _ in range(20)), *w, *(rng.choice(words) for _ in range(20))])))
+    expected = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = decontam.word_hashes(item), decontam.word_hashes(text)
+            score = decontam.align([a], [b])[0][0]
+            if score >= decontam.SCORE * decontam.MATCH * len(a) and score >= decontam.MATCH * min(decontam.AGREE, len(a)):
+                expected[d, i] = score / (decontam.MATCH * len(a))
+    assert len(expected) > 45
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, bench).collect()} == expected
+    assert {r.doc_id for r in frame.where(decontam.clean_column(frame, bench)).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+
+
 def pages_of(spark):
     rows = [(i, f"http://a/{i % 7}\r\nX: y", "<p>" + "é" * (i % 11)) for i in range(60)]
     rows += [(100, None, None), (101, "", ""), (None, "u", "<p>"), (None, "u", "only here"), (102, "u", "z" * 500_000), (59, "u", rows[59][2])]
