@@ -117,37 +117,42 @@ def top_masks(distance: int) -> list[int]:
     return [_signed(a | b) for a, b in combinations(blocks, 2)]
 
 
-def finer_parts(level: int, distance: int) -> list[int]:
-    """The 64 bits cut into distance + 1 parts by a digit of their position; each level takes the next digit.
+def finer_masks(hot: DataFrame, distance: int) -> DataFrame:
+    """(mask, shared, finer): the masks that replace each node's, given the bits that ``vary`` in it.
 
-    Whatever bits a node shares already, two fingerprints within the distance agree on one part.
+    Those bits are cut into distance + 1 parts; two fingerprints of the node that are within the
+    distance agree on one part. Each finer mask holds one part and all bits that don't vary, so the
+    bits left free are about a quarter fewer (distance 3) at each split.
     """
-    n, digits = distance + 1, 1
-    while n > 1 and n ** digits < 64:
-        digits += 1
-    digit = level % digits
-    return [_signed(sum(1 << b for b in range(64) if b // n ** digit % n == j)) for j in range(n)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(m, s, _signed((~v | part) & (1 << 64) - 1)) for m, s, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                    for part in _parts([b for b in range(64) if v >> b & 1], distance + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["mask", "shared", "finer"])
+
+    return hot.select("mask", "shared", "vary").mapInArrow(cut, "mask long, shared long, finer long")
 
 
 def top_nodes(fps: DataFrame, distance: int, most: int) -> DataFrame:
     """(mask, shared, fp, node): each distinct fingerprint below its top nodes, none of them above ``most`` rows.
 
-    Each level shares more bits, and a node with few bits left free is small: 2 to that number.
+    Each level leaves fewer bits free, and a node with few bits free is small: 2 to that number. A
+    node with no more free bits than the distance is not split: all its fingerprints are links.
     """
     under = lambda masks: F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    most, level, done = max(most, 64), 0, []
+    most, done = max(most, 64), []
     rows = fps.select("fp", "node", under(top_masks(distance)).alias("mask"))
     while True:
         rows = rows.withColumn("shared", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = stored(rows.groupBy("mask", "shared").agg(F.count("*").alias("n")).where(f"n > {int(most)}").drop("n"), "hot-nodes")
+        sizes = rows.groupBy("mask", "shared").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("vary"))
+        sizes = stored(sizes.where((F.col("n") > int(most)) & (F.bit_count("vary") > distance)).drop("n"), "hot-nodes")
         if sizes.isEmpty():
             done.append(rows)
             break
         done.append(rows.join(sizes, ["mask", "shared"], "left_anti"))
-        rows = stored(rows.join(sizes, ["mask", "shared"], "left_semi")
-                      .select("fp", "node", "mask", under(finer_parts(level, distance)).alias("part"))
-                      .select("fp", "node", F.col("mask").bitwiseOR(F.col("part")).alias("mask")).distinct(), "split-nodes")
-        level += 1
+        finer = stored(finer_masks(sizes, distance), "finer-masks")
+        rows = stored(rows.join(finer, ["mask", "shared"]).select("fp", "node", F.col("finer").alias("mask")).distinct(), "split-nodes")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -113,6 +113,42 @@ def test_index_finds_what_all_pairs_do(spark):
         assert np.array_equal(gray_simhash.smallest_reachable(len(fps), found.a.to_numpy(), found.b.to_numpy()), expected)
 
 
+def test_a_node_of_many_near_copies_is_split_until_it_is_small(spark, monkeypatch):
+    """2^14 fingerprints that vary in 14 bits only, some others alone, and neighbours of some at a distance of 3 and of 9."""
+    written, store = [], gray_simhash.stored
+
+    def counted(df, name):
+        written.append(name)
+        assert len(written) < 40, "the splits do not end"
+        return store(df, name)
+
+    monkeypatch.setattr(gray_simhash, "stored", counted)
+    rng = np.random.default_rng(5)
+    one = np.uint64(1)
+    places = np.arange(64, dtype=np.uint64)
+    free = places[[25, 26, 27, 29, 30, 31, 37, 38, 39, 41, 42, 43, 45, 46]]  # a cut by position alone leaves them free at any level
+    base = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+    fps = np.bitwise_or.reduce((np.arange(1 << 14, dtype=np.uint64)[:, None] >> np.arange(14, dtype=np.uint64) & one) << free, axis=1) ^ base
+    outside = np.setdiff1d(places, free)
+    flip = lambda n: np.bitwise_or.reduce(one << rng.choice(outside, n, replace=False))
+    near, far = fps[:30] ^ np.array([flip(3) for _ in range(30)], np.uint64), fps[100:130] ^ np.array([flip(9) for _ in range(30)], np.uint64)
+    alone = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, near, far, alone]))
+    a, b = [], []
+    for at in range(0, len(fps), 512):
+        i, j = np.nonzero(np.bitwise_count(fps[at:at + 512, None] ^ fps) <= 3)
+        a.append(i + at)
+        b.append(j)
+    expected = gray_simhash.smallest_reachable(len(fps), np.concatenate(a), np.concatenate(b))
+    nodes = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    for most in (4096, 256):
+        written.clear()
+        sizes = gray_simhash.top_nodes(nodes, 3, most).groupBy("mask", "shared").count().agg({"count": "max"}).first()[0]
+        assert sizes <= most
+        found = gray_simhash.near_links(nodes, 3, most).toPandas()
+        assert np.array_equal(gray_simhash.smallest_reachable(len(fps), found.a.to_numpy(), found.b.to_numpy()), expected)
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(90)]
