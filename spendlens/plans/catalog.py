@@ -419,8 +419,10 @@ def q_event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("statement_files")
 def q_statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 S2 S4 J1 + parsing through real files: every user's raw statement rows
-    are written as CSV files (one per user and layout, rows in key order) into
-    the shared checkpoint folder, then imported from the folder."""
+    are written as CSV files (by user and layout, rows in key order, a long
+    statement in several files) into the shared checkpoint folder, then imported
+    from the folder.  A file that the gate refuses gives one row: its reason as
+    ``error``, no ``row_num``."""
     import uuid
 
     from spendlens.session import scratch_path
@@ -434,10 +436,13 @@ def q_statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imported_rows(spark, files):
-    """All parsed rows (good and bad) of the accepted files."""
+    """All parsed rows (good and bad) of the accepted files, numbered on over the files of
+    a statement, and one row for each file that the gate refuses, its reason as ``error``."""
     from spendlens.operators.statement import file_error, parse_rows
-    from spendlens.sources.statements import accepted, split_records
+    from spendlens.sources.statements import accepted, gate, split_records
     acc = accepted(files)
-    recs = split_records(acc.select("path", "content", "user_id", "file_hash"))
+    recs = split_records(acc.select("path", "content", "user_id", "rows_before", "file_hash"))
     ok = recs.where(file_error("header").isNull() & F.col("row_num").isNotNull())
-    return parse_rows(ok)
+    ok = ok.withColumn("row_num", (F.col("row_num") + F.col("rows_before")).cast("int"))
+    refused = gate(files).where(F.col("reject_reason").isNotNull()).select("user_id", F.col("reject_reason").alias("error"))
+    return parse_rows(ok).unionByName(refused, allowMissingColumns=True)

@@ -261,10 +261,18 @@ def raw_statement_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("row_num", (F.col("pos_in_file") + 1).cast("int")).drop("pos_in_file")
 
 
+# rows and bytes of one written statement file at most: well under the upload gate's 10 MB
+FILE_ROWS, FILE_BYTES = 50_000, 8 * 1024 * 1024
+
+
 def write_raw_statement_files(raw: DataFrame, folder: str) -> None:
-    """Write raw_statement as CSV statement files: one file per user and layout
-    (``user_id=<id>/layout=<k>/part-*.csv``), rows in file order, cells verbatim
-    (leading/trailing spaces kept, values with commas quoted)."""
+    """Write raw_statement as CSV statement files by user and layout
+    (``layout=<k>/user_id=<id>/rows_before=<n>/part-*.csv``), rows in file order,
+    cells verbatim (leading/trailing spaces kept, values with commas quoted).
+
+    A statement of many rows goes on in further files, each within ``FILE_BYTES``
+    unless a single row is longer; ``rows_before`` is the number of the
+    statement's rows in the files before."""
     odd = _mod("row_key", 2) == 1
     cols = {
         0: [("date", "date_raw"), ("description", "desc_raw"), ("amount", "amt_raw"), ("type", "type_raw")],
@@ -277,10 +285,20 @@ def write_raw_statement_files(raw: DataFrame, folder: str) -> None:
     }
     for k, spec in cols.items():
         sel = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in spec]
-        part = (raw.where(F.col("layout") == k)
-                   .select("user_id", "row_key", *sel)
-                   .repartition("user_id").sortWithinPartitions("user_id", "row_key").drop("row_key"))
-        (part.write.mode("overwrite").partitionBy("user_id")
+        names = [name for name, _ in spec]
+        # every cell quoted and every character of it escaped: no row is longer in the file
+        size = sum((F.coalesce(F.octet_length(n), F.lit(0)).cast("bigint") * 2 + 3 for n in names), F.lit(0))
+        rows = running_row_number(raw.where(F.col("layout") == k).select("user_id", "row_key", *sel), ["user_id"], ["row_key"],
+                                  F.coalesce(F.floor(F.col("row_key") / F.lit(VERSION_BUCKET)), F.lit(-(1 << 62))), "pos")
+        rows = rows.withColumn("chunk", F.floor((F.col("pos") - 1) / F.lit(FILE_ROWS)))
+        so_far = F.sum(size).over(Window.partitionBy("user_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("end", so_far).select(
+            "*", F.floor((F.col("end") - size) / F.lit(FILE_BYTES)).alias("a"), F.floor(F.col("end") / F.lit(FILE_BYTES)).alias("b"))
+        # a row over the border of two pieces (a, b) has a file of its own
+        first = F.min("pos").over(Window.partitionBy("user_id", "chunk", "a", "b"))
+        part = (rows.select("user_id", (first - 1).alias("rows_before"), "pos", *names)
+                    .repartition("user_id", "rows_before").sortWithinPartitions("user_id", "rows_before", "pos").drop("pos"))
+        (part.write.mode("overwrite").partitionBy("user_id", "rows_before")
              .option("header", True).option("ignoreLeadingWhiteSpace", False)
              .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "")
              .csv(f"{folder}/layout={k}"))

@@ -158,3 +158,34 @@ def test_faulty_files_are_rejected_and_the_rest_is_imported(spark, tmpdir_path):
         f.write("not parquet")
     with pytest.raises(Exception):  # noqa: B017
         run_import(spark, folder, store)
+
+
+def test_a_statement_over_the_gates_size_keeps_its_rows_and_refused_files_are_reported(spark, tmpdir_path, monkeypatch):
+    from spendlens.plans.catalog import _imported_rows
+    from spendlens.sources import views
+    from spendlens.sources.statements import MAX_UPLOAD_BYTES, REJECT_SIZE
+    n = 180_000
+    raw = spark.range(n).selectExpr(
+        "if(id % 1000 = 999, 8L, 4L) as user_id", "id as row_key", "0 as layout", "'2024-01-05' as date_raw",
+        "concat('ORDER, ', id, ' of a user with very many rows in one layout') as desc_raw", "'12.50' as amt_raw",
+        "'debit' as type_raw", "'' as merchant_raw")
+    views.write_raw_statement_files(raw, f"{tmpdir_path}/files")
+    files = spark.read.format("binaryFile").load(f"{tmpdir_path}/files")
+    sizes = files.groupBy("user_id").agg(F.sum("length").alias("n"), F.max("length").alias("most")).orderBy("user_id").collect()
+    assert sizes[0].n > MAX_UPLOAD_BYTES and sizes[0].most < MAX_UPLOAD_BYTES
+    rows = _imported_rows(spark, files)
+    key = F.regexp_extract("description", "ORDER, ([0-9]+)", 1).cast("long")
+    got = rows.select("user_id", "row_num", key.alias("key"), "error").toPandas().sort_values("key")
+    assert got.error.isna().all() and got.key.tolist() == list(range(n))
+    assert all(x.row_num.tolist() == list(range(2, len(x) + 2)) for _, x in got.groupby("user_id"))
+    # long rows: files bounded by bytes; a file over the limit gives a reject row and no others
+    monkeypatch.setattr(views, "FILE_BYTES", 2000)
+    some = raw.where("row_key < 40").withColumn("desc_raw", F.expr("repeat('x', if(row_key = 7, 5000, 300))"))
+    views.write_raw_statement_files(some, f"{tmpdir_path}/long")
+    assert spark.read.format("binaryFile").load(f"{tmpdir_path}/long").where("length > 2100").count() == 1
+    folder = f"{tmpdir_path}/long/layout=0/user_id=9/rows_before=0"
+    os.makedirs(folder)
+    _write(folder, "big.csv", "date,description,amount,type\n" + "2024-01-05,x,1,debit\n" * 600_000)
+    got = _imported_rows(spark, spark.read.format("binaryFile").load(f"{tmpdir_path}/long")).collect()
+    assert sorted(r.row_num for r in got if r.user_id == 4) == list(range(2, 42))
+    assert [(r.row_num, r.error) for r in got if r.user_id == 9] == [(None, REJECT_SIZE)]
