@@ -33,6 +33,8 @@ PASSES_PRIOR, PASSES_RISK = 8, 14
 RIDGE, RIDGE_FEW = 1e-3, 2.0
 #: Parts of the score range in the histograms of the prior's estimate.
 BINS = 1000
+#: Bytes compressed at a time.
+PIECE = 1 << 20
 #: Partial sums left for the driver, whatever the number of tasks.
 PARTIALS = 8
 
@@ -45,6 +47,12 @@ _VOWELS = np.isin(np.arange(256), list(b"aeiouAEIOU")).astype(float)
 _TAIL = re.compile(r"[^\w\s.,;:?'\")\]-][^\w\s]*(?=\s|$)")
 
 
+def packed_bytes(raw: np.ndarray) -> int:
+    """Size of all bytes when compressed, which go through in pieces and are not kept."""
+    packer = zlib.compressobj(1)
+    return sum(len(packer.compress(raw[at:at + PIECE])) for at in range(0, len(raw), PIECE)) + len(packer.flush())
+
+
 def statistics(text: str) -> np.ndarray:
     """What the model knows of a text; all zeros, but for a mark of emptiness, when it has no words."""
     out = np.zeros(WIDTH)
@@ -71,7 +79,7 @@ def statistics(text: str) -> np.ndarray:
         np.log1p(n), np.log(distinct + 1) / np.log(n + 1), most / n, (most / n) ** 0.5, same / max(1, n - 1), (same / max(1, n - 1)) ** 0.5,
         upper / n, (upper / n) ** 0.5, alpha / n, tails / n, (tails / n) ** 0.5, len(set(lines)) / len(lines), np.log1p(n / len(lines)),
         np.log((pairs + 1) / n + 1), np.log(len(raw) / n), np.log(max(map(len, words))), share[1] / letters, kinds @ _VOWELS / len(raw) / letters,
-        (share[6] * 10) ** 0.5, len(zlib.compress(raw[: 1 << 20].tobytes(), 1)) / min(len(raw), 1 << 20) if len(raw) > 200 else 0.5]
+        (share[6] * 10) ** 0.5, packed_bytes(raw) / len(raw) if len(raw) > 200 else 0.5]
     out[21:29] = share
     # far from usual text in one way is enough: marks that a sum of small differences can't outweigh
     out[29:35] = [upper / n > 0.4, same / max(1, n - 1) > 0.3, tails / n > 0.3, alpha / n < 0.35, most / n > 0.3 and n > 20, share[6] > 0.05]

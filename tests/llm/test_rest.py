@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -66,6 +67,15 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert kept == {i for i in range(200) if i % 3 and zlib.crc32(str(i).encode()) % 4 != 2}
 
 
+def test_statistics_are_of_the_whole_text():
+    rng = random.Random(3)
+    clean = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10 ** 6)}" for _ in range(150_000))
+    assert len(clean) > 1 << 20
+    ratio = lambda t: len(zlib.compress(t.encode(), 1)) / len(t.encode())
+    for text in (clean[:5000], clean[:1 << 20], clean, clean + "\nthe same line again" * 200_000):
+        assert abs(pu_quality.statistics(text)[20] - ratio(text)) < 1e-12
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(1)
     items = [rng.integers(0, 4, rng.integers(1, 15)).astype(np.uint64) for _ in range(80)]
