@@ -27,7 +27,8 @@ FILE_BYTES = 64 << 20
 BLOCK = 1 << 16
 #: Fixed date in the records: the tables carry none.
 DATE = "2020-01-01T00:00:00Z"
-#: A header block may not be longer than this many bytes; a longer one is reported as broken.
+#: An HTTP header block may not be longer than this many bytes; a longer one is reported as broken.
+#: A record's own header holds its target, of any length, and may go on to the end of its gzip member.
 HEADER_BYTES = 1 << 20
 
 
@@ -133,13 +134,16 @@ class _Member:
                 return True
         return False
 
-    def block(self, end: bytes) -> bytes:
+    def block(self, end: bytes, most: int | None = None) -> bytes:
         """What comes up to ``end``, which is dropped."""
-        while end not in self.data:
-            if len(self.data) > HEADER_BYTES or not self.more():
+        held, seen = bytearray(self.data), 0
+        while (at := held.find(end, seen)) < 0:
+            seen, self.data = max(0, len(held) - len(end) + 1), b""
+            if most is not None and len(held) > most or not self.more():
                 raise ValueError("no end of headers")
-        head, _, self.data = self.data.partition(end)
-        return head
+            held += self.data
+        self.data = bytes(held[at + len(end):])
+        return bytes(held[:at])
 
     def rest(self) -> bytes:
         """What follows the member in the file."""
@@ -167,7 +171,7 @@ def records(stream, payloads: bool) -> Iterator[dict]:
             member = _Member(stream, raw)
             head = _fields(member.block(b"\r\n\r\n"))
             left, whole, own, kept = int(head["content-length"]), hashlib.sha1(), hashlib.sha1(), []
-            http = member.block(b"\r\n\r\n") + b"\r\n\r\n"
+            http = member.block(b"\r\n\r\n", HEADER_BYTES) + b"\r\n\r\n"
             whole.update(http)
             left -= len(http)
             size = 0
@@ -215,7 +219,7 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     held, size = [], 0
                     for row in records(stream, payloads):
                         held.append(row)
-                        size += 200 + len(row["payload"] or b"")
+                        size += 200 + len(row["payload"] or b"") + len(row["url"] or "")
                         if size > 1 << 22:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0

@@ -174,6 +174,14 @@ def test_archives(spark, least):
     assert warc.read_warc(warc.write_warc(pages.where("false"))).count() == 0
 
 
+def test_long_urls_can_be_read_back(spark):
+    pages = [(1, "http://a/" + "x" * (2 << 20), "one"), (2, "http://b/" + "é/" * (3 << 20), "two" * 40_000), (3, "http://c/", "one"), (4, "http://d/", None)]
+    manifest = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1))
+    got = warc.read_warc(manifest, payloads=True).collect()
+    assert sorted((r.page_id, r.url, r.error) for r in got) == [(i, u, None) for i, u, _ in pages]
+    assert {r.page_id: r.payload for r in got if r.record_type == "response"} == {2: b"two" * 40_000, 3: b"one", 4: b""}
+
+
 def test_broken_archives(spark, tmp_path):
     whole = [warc.record(i, "http://a", f"<p>{i}".encode(), None) for i in range(3)]
     bad = bytearray(warc.record(9, "u", b"payload", None))
