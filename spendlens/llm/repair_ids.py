@@ -2,7 +2,7 @@
 
 The ids of the documents, in ascending key order, each closed by an end id, are cut into shards. A
 shard's ids are compressed by Re-Pair: frequent pairs of neighbouring ids are replaced by a new
-nonterminal, and so on until few pairs repeat. Many pairs are replaced in a round, the most
+nonterminal, for ``ROUNDS`` rounds at most, so that pairs that repeat may be left. Many pairs are replaced in a round, the most
 frequent first where they overlap. A file holds its shards one after the other, each with its
 rules, the expansion length of every rule, the ends of its documents and the sequence that is left;
 a document is found by the lengths and expanded without the rest of the shard.
