@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bwt_dedup, decontam, gray_simhash, pu_quality, repair_ids, rp_forest, token_counts, tree_bpe, url_filters, warc
+from . import bwt_dedup, conversations, decontam, gray_simhash, pu_quality, repair_ids, rp_forest, token_counts, tree_bpe, url_filters, warc
 
 #: The rules that the url query judges by.
 URL_RULES = [
@@ -105,6 +105,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after the damage, and the cheapest edits that repair it."""
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bwt_dedup": op1_bwt_dedup,
     "op2_quality": op2_quality,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rp_forest": op8_rp_forest,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
