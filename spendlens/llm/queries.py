@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bwt_dedup, conversations, decontam, gray_simhash, pu_quality, repair_ids, rp_forest, token_counts, tree_bpe, url_filters, warc
+from . import bwt_dedup, conversations, decontam, gray_simhash, lexical, pu_quality, repair_ids, rp_forest, token_counts, tree_bpe, url_filters, warc
 
 #: The rules that the url query judges by.
 URL_RULES = [
@@ -105,6 +105,35 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every test item."""
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"), k=50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+OP12_SQL = r"""
+with words as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) as term
+  from documents),
+tfs as (select doc_id, term, count(*) as tf from words group by all),
+lengths as (select doc_id, count(*) as n from words group by all),
+corpus as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w
+  from tfs, corpus group by term),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) as term
+  from benchmark),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::bigint as score
+  from wanted join weights using (term) join tfs using (term) join lengths using (doc_id), corpus
+  group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+""".replace("{term}", lexical.TERM)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every conversation after the damage, and the cheapest edits that repair it."""
     return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
@@ -121,9 +150,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rp_forest": op8_rp_forest,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filters": OP3_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
