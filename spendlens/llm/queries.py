@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bwt_dedup, conversations, decontam, gray_simhash, lexical, pu_quality, repair_ids, rp_forest, token_counts, tree_bpe, url_filters, warc
+from . import ann_forest, bwt_dedup, conversations, decontam, gray_simhash, lexical, pu_quality, repair_ids, rp_forest, token_counts, tree_bpe, url_filters, warc
 
 #: The rules that the url query judges by.
 URL_RULES = [
@@ -105,6 +105,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_rp_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for every test item."""
     index = lexical.build_index(table(spark, sf_dir, "documents"))
@@ -150,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rp_forest": op8_rp_forest,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_rp_forest_search": op11_rp_forest_search,
     "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
