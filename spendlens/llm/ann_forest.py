@@ -40,6 +40,8 @@ SAMPLE, SAMPLE_BYTES = 32_768, 16 << 20
 RECALL, MEASURED, EACH = 0.96, 200, 0.9
 #: Rows or queries in a block.
 BLOCK = 4096
+#: Searches of one task.
+TASK_QUERIES = 1000
 SEED = 11
 
 
@@ -293,7 +295,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     groups = stored(asked.groupBy("x").agg(F.min("id").alias("query")), "queries")
     queries = stored(asked.join(groups, "x").select("id", "query"), "asked")
     index = stored(classes.mapInPandas(leaf_rows(sent), "leaf long, rep long, ids array<long>, packed binary"), "forest")
-    asks = stored(groups.mapInPandas(visits(sent, k, number), "leaf long, query long, floor double, q binary"), "visits")
+    tasks = math.ceil(groups.count() / TASK_QUERIES)  # searches are long for their bytes
+    asks = stored(groups.repartition(max(1, tasks), "query").mapInPandas(visits(sent, k, number), "leaf long, query long, floor double, q binary"), "visits")
     parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = stored(parts(index, "row_blocks").join(parts(asks, "query_blocks"), "leaf"), "sizes")
 
