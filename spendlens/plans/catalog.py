@@ -302,25 +302,63 @@ def _w5_scored(spark, sf_dir):
             .withColumn("is_anomaly", F.col("anomaly_score") >= 0.75)
 
 
+def _new_store(spark, name):
+    import uuid
+
+    from spendlens.plans.scan import open_store
+    from spendlens.session import scratch_path
+    return open_store(scratch_path(spark, f"{name}-{uuid.uuid4().hex}"))
+
+
+def _written_back(spark, sf_dir):
+    """A store with unscanned transactions and old anomaly records, after a scan was written back to it."""
+    from spendlens.plans.scan import write_back
+    from spendlens.sources.snapshot import Change
+    txn = views.txn_star(spark, sf_dir)
+    rows = txn.select("transaction_id", "user_id", F.lit(False).alias("is_anomaly"), F.lit(None).cast("double").alias("anomaly_score"))
+    old = txn.where("is_injected_anomaly = 1").select("user_id", "transaction_id", F.lit("previous").alias("source"))
+    store = _new_store(spark, "scanned")
+    at = store.commit(spark, [Change("transactions", rows), Change("anomalies", old)], store.current(spark))
+    write_back(spark, store, at, _w5_scored(spark, sf_dir), sorted(at.tables["transactions"]),
+               records=lambda s: s.where("is_anomaly").select("user_id", "transaction_id", F.lit("current").alias("source")))
+    return store
+
+
 @register("anomaly_flags_update")
 def q_anomaly_flags_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Update join -- scored users get new flag + score, others keep old values."""
-    txn = views.txn_star(spark, sf_dir).select("transaction_id", "user_id").withColumn(
-        "is_anomaly", F.lit(False)).withColumn("anomaly_score", F.lit(None).cast("double"))
-    out = det.apply_flags(txn, _w5_scored(spark, sf_dir))
+    """Scored rows get a new flag and score, others keep their old values; read back from the store."""
+    out = _written_back(spark, sf_dir).read(spark, "transactions")
     return rounded(out.select("transaction_id", "user_id", "is_anomaly", "anomaly_score"))
 
 
 @register("anomaly_replace")
 def q_anomaly_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replace every scanned user's anomaly records (users with no new
-    anomaly lose their old ones)."""
-    txn = views.txn_star(spark, sf_dir)
-    old = txn.where("is_injected_anomaly = 1").select("user_id", "transaction_id",
-                                                       F.lit("previous").alias("source"))
-    scored = _w5_scored(spark, sf_dir)
-    new = scored.where("is_anomaly").select("user_id", "transaction_id", F.lit("current").alias("source"))
-    return det.replace_anomalies(old, new, scored.select("user_id"))
+    """Every scanned user's anomaly records are replaced (users with no new
+    anomaly lose their old ones); read back from the store."""
+    return _written_back(spark, sf_dir).read(spark, "anomalies").select("user_id", "transaction_id", "source")
+
+
+@register("import_rescan")
+def q_import_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17 + M18: anomaly records after two imports, the last month's transactions second; each import's
+    users are scanned over their whole stored histories (score and bands of ``score_normalize``)."""
+    from spendlens.plans.scan import scan
+    from spendlens.sources.snapshot import Change
+    txn = views.txn_star(spark, sf_dir).select("transaction_id", "user_id", "transaction_date", "amount").withColumn(
+        "is_anomaly", F.lit(False)).withColumn("anomaly_score", F.lit(None).cast("double"))
+    last = txn.agg(F.max("transaction_date")).scalar()
+    recent = F.col("transaction_date") > last - F.expr("INTERVAL 30 DAYS")
+
+    def score(rows: DataFrame) -> DataFrame:
+        s = det.per_user_scale(rows.select("transaction_id", "user_id", (-F.log1p("amount")).alias("decision")))
+        s = s.where(F.col("__n") >= det.MIN_TRANSACTIONS_FOR_DETECTION).withColumn("anomaly_score", det.normalized_score())
+        return s.withColumn("is_anomaly", F.col("anomaly_score") >= 0.75).withColumn("severity", severity("anomaly_score")).withColumn("reason", F.lit("amount"))
+
+    store = _new_store(spark, "rescan")
+    for rows in (txn.where(~recent), txn.where(recent)):
+        store.commit(spark, [Change("transactions", rows)], store.current(spark))
+        scan(spark, store, score, rows)
+    return rounded(store.read(spark, "anomalies").select("user_id", "transaction_id", "anomaly_score", "severity"))
 
 
 # ---------------------------------------------------------------- whole-history feature sets

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import logging
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,10 +68,27 @@ def categorize(rows: DataFrame, model=None) -> DataFrame:
                 .drop("predicted", "confidence"))
 
 
-def prepare_import(spark: SparkSession, files: DataFrame, ledger: DataFrame | None,
+def transaction_rows(txn: DataFrame, model=None) -> DataFrame:
+    """Parsed transactions with their category, in the columns of the store."""
+    return categorize(txn, model).select(
+        "transaction_id", "user_id", "transaction_date", "description", "merchant", "amount",
+        "currency", "transaction_type", "category", "category_confidence", "import_id", "reference",
+        "content_hash", "ingest_seq", F.lit(False).alias("is_anomaly"),
+        F.lit(None).cast("double").alias("anomaly_score"), F.current_timestamp().alias("created_at"))
+
+
+def ledger_rows(summary: DataFrame) -> DataFrame:
+    """Import summaries in the columns of the ledger."""
+    return summary.select("user_id", "file_hash", "import_id", "filename", "status", "total_rows",
+                          "imported_rows", "failed_rows", "errors", "created_at")
+
+
+def prepare_import(spark: SparkSession, files: DataFrame,
+                   ledger: DataFrame | Callable[[DataFrame], DataFrame] | None,
                    default_user: str | None = None):
     """Everything up to the writes for a binaryFile DataFrame (batch or one
-    micro-batch).  Returns (transactions, summary, rejected)."""
+    micro-batch).  Returns (transactions, summary, rejected).  ``ledger`` may be
+    a function that gives the entries for the batch's file hashes."""
     gated = gate(files.drop("content"))          # metadata only
     rejected = gated.where(F.col("reject_reason").isNotNull()).select("path", "reject_reason")
     acc = accepted(files)
@@ -83,7 +101,11 @@ def prepare_import(spark: SparkSession, files: DataFrame, ledger: DataFrame | No
     no_user = acc.where("user_id is null").select("path", F.lit(REJECT_NO_USER).alias("reject_reason"))
     acc = acc.where("user_id is not null")
     # duplicates are decided on keys alone; the bytes of the files that are kept are read by one pass
-    dedup = first_uploads(acc.select("path", "user_id", "file_hash", "file_seq"), ledger.select("user_id", "file_hash", F.lit("").alias("file_seq"))
+    keys = acc.select("path", "user_id", "file_hash", "file_seq")
+    if callable(ledger):
+        keys = stored(keys, "uploads")
+        ledger = ledger(keys.select("file_hash"))
+    dedup = first_uploads(keys, ledger.select("user_id", "file_hash", F.lit("").alias("file_seq"))
                           if ledger is not None else None)
     dup = dedup.where(~F.col("accepted")).select("path", F.lit("This file was already imported").alias(
         "reject_reason"))
@@ -124,11 +146,7 @@ def import_files(spark: SparkSession, files: DataFrame, store: Store, model=None
     """M18 on a binaryFile DataFrame (used by the folder import and by T1)."""
     ledger = store.read(spark, "imports", LEDGER_SCHEMA)
     txn, summary, rejected = prepare_import(spark, files, ledger, default_user)
-    txn = categorize(txn, model).select(
-        "transaction_id", "user_id", "transaction_date", "description", "merchant", "amount",
-        "currency", "transaction_type", "category", "category_confidence", "import_id", "reference",
-        "content_hash", "ingest_seq", F.lit(False).alias("is_anomaly"),
-        F.lit(None).cast("double").alias("anomaly_score"), F.current_timestamp().alias("created_at"))
+    txn = transaction_rows(txn, model)
     done = store.read(spark, "transactions")
     if done is not None:              # a crash between the two writes left rows without a ledger entry
         txn = txn.join(done.select("import_id").distinct(), "import_id", "left_anti").select(*txn.columns)
@@ -136,9 +154,7 @@ def import_files(spark: SparkSession, files: DataFrame, store: Store, model=None
     n_rows = txn.count()
     if n_rows:                        # S8: empty -> no write
         txn.write.mode("append").parquet(store.path("transactions"))
-    summary = summary.select("user_id", "file_hash", "import_id", "filename", "status", "total_rows",
-                             "imported_rows", "failed_rows", "errors", "created_at")
-    summary = stored(summary, "summary")
+    summary = stored(ledger_rows(summary), "summary")
     summary.write.mode("append").parquet(store.path("imports"))      # S9, after the rows
     result = {"transactions": n_rows, "imports": summary.count(), "rejected": rejected.count()}
     if detector is not None and n_rows:

@@ -313,6 +313,10 @@ where is_injected_anomaly = 1 and user_id in (select user_id from txn_star group
 union all
 select user_id, transaction_id, 'current' from scored where anomaly_score >= 0.75"""
 
+ORACLES["import_rescan"] = _W5 + """
+select user_id, transaction_id, round(anomaly_score, 6) as anomaly_score, 'high' as severity
+from scored where anomaly_score >= 0.75"""
+
 ORACLES["history_features_a"] = duckdb_with("txn_star") + """
 , d as (select *, coalesce(merchant, description) as merchant_key from txn_star),
 s as (select *,
