@@ -53,9 +53,9 @@ def spending_rollup(txn: DataFrame, grain: str = "month") -> DataFrame:
 
 
 def recurring_payments(txn: DataFrame, user_col: str = "user_id", id_col: str = "transaction_id") -> DataFrame:
-    """D3: user + merchant with >= 3 debits whose median gap (days, lower
-    median) falls in a frequency band; confidence = max(0, 1 - std/mean of
-    gaps); next date = last date + median gap."""
+    """D3: user + merchant with >= 3 debits whose median gap (days; the mean of
+    the middle two) falls in a frequency band; confidence = max(0, 1 - std/mean
+    of gaps); next date = last date + whole days of the median gap."""
     d = txn.where(_is(DEBIT) & F.col("merchant").isNotNull() & (F.col("merchant") != ""))
     d = d.withColumn("__day", F.to_date("transaction_date"))
     # previous payment date = max date over earlier payments (skew-safe running max)
@@ -64,19 +64,27 @@ def recurring_payments(txn: DataFrame, user_col: str = "user_id", id_col: str =
     d = d.withColumn("gap", F.datediff("__day", "__prev"))
     g = d.groupBy(user_col, "merchant").agg(
         F.count(F.lit(1)).alias("payments"), F.avg("amount").alias("avg_amount"),
-        F.percentile_approx("gap", 0.5, 10000).alias("median_gap"),
         F.avg("gap").alias("mean_gap"), F.stddev_samp("gap").alias("std_gap"),
         F.max("__day").alias("last_date"))
+    # exact: gaps are whole days, so a group has as many distinct ones as its span has days at most
+    counts = d.where("gap is not null").groupBy(user_col, "merchant", "gap").agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(user_col, "merchant")
+    below = F.sum("__n").over(group.orderBy("gap"))
+    counts = counts.withColumn("__below", below).withColumn("__all", F.sum("__n").over(group))
+    holds = lambda rank: (F.col("__below") > rank) & (F.col("__below") - F.col("__n") <= rank)
+    lower, upper = F.floor((F.col("__all") - 1) / 2), F.ceil((F.col("__all") - 1) / 2)
+    medians = counts.groupBy(user_col, "merchant").agg(
+        ((F.max(F.when(holds(lower), F.col("gap"))) + F.max(F.when(holds(upper), F.col("gap")))) / 2).alias("median_gap"))
+    g = g.where(F.col("payments") >= RECURRING_MIN_PAYMENTS).join(medians, [user_col, "merchant"])
     freq = None
     for name, lo, hi in RECURRING_BANDS:
         c = F.col("median_gap").between(lo, hi)
         freq = F.when(c, F.lit(name)) if freq is None else freq.when(c, F.lit(name))
     conf = F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(
         F.try_divide(F.col("std_gap"), F.when(F.col("mean_gap") != 0, F.col("mean_gap"))), F.lit(0.0)))
-    return (g.where(F.col("payments") >= RECURRING_MIN_PAYMENTS)
-             .withColumn("frequency", freq).where(F.col("frequency").isNotNull())
+    return (g.withColumn("frequency", freq).where(F.col("frequency").isNotNull())
              .select(user_col, "merchant", "frequency", "payments", "avg_amount",
-                     F.col("median_gap").cast("int").alias("median_gap"), conf.alias("confidence"),
+                     "median_gap", conf.alias("confidence"),
                      F.date_add("last_date", F.col("median_gap").cast("int")).alias("next_date")))
 
 

@@ -19,8 +19,8 @@ How it maps onto Spark:
 * **Scoring** -- the node table is at most ``trees * (2 * samples - 1)`` rows
   (102,200 for the defaults; fixed by parameters), so it is broadcast once;
   ``mapInPandas`` walks all trees for a whole Arrow batch with numpy.
-* **Threshold** -- ``percentile_approx`` over all training scores (a mergeable
-  sketch, not one task holding every score).
+* **Threshold** -- the exact interpolated quantile of all training scores, by
+  rounds of bounded counts (no task holds every score).
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from spendlens.operators.quantile import exact_quantile
+
 # ---- fixed values: model parameters of the reference ----
 N_TREES = 200
 MAX_SAMPLES = 256
@@ -43,7 +45,6 @@ SEED = 42
 # ---------------------------------------------------------
 EULER_GAMMA = 0.5772156649015329
 POOL_SLACK = 1.25          # candidate pool oversampling before the exact top-k
-PERCENTILE_ACCURACY = 100_000
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size int, depth int")
@@ -166,8 +167,7 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str, n_trees: int = N
     # scored training rows feed the quantile and every later consumer (flags,
     # per-user scaling): score once, cut lineage in the shared checkpoint folder
     scored = score(model, df).checkpoint()
-    q = scored.agg(F.percentile_approx("score", contamination, PERCENTILE_ACCURACY)).first()[0]
-    model.offset = float(q)
+    model.offset = exact_quantile(scored, "score", contamination)
     return model, scored.withColumn("decision", F.col("score") - F.lit(model.offset))
 
 
@@ -238,5 +238,6 @@ def decision(model: ForestModel, df: DataFrame) -> DataFrame:
              .withColumn("is_anomaly", F.col("decision") < 0))
 
 
-def flag(decision_col: str = "decision") -> Column:
-    return F.col(decision_col) < 0
+def flag(decision: Column | str = "decision") -> Column:
+    """Whether a row lies below the threshold."""
+    return (F.col(decision) if isinstance(decision, str) else decision) < 0

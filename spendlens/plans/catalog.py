@@ -436,13 +436,105 @@ def q_categorizer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("anomalies_page")
 def q_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2 + P8 + A4: each user's first page (50) of high-severity anomalies."""
-    feat, model, scored = _trained(spark, sf_dir)
-    a = lst.apply_filters(det.detect(feat, model, scored=scored).where("is_anomaly"), severity="high")
-    p = lst.page(a, "user_id", [F.col("anomaly_score").desc(), F.col("transaction_id")], 0, 50,
+    """O2 + P7 + P8 + A4: each user's first page (50) of high-severity anomalies, newest first, as the listing
+    returns them.  Scores as in ``score_normalize``; a record's time is its transaction's."""
+    from spendlens.plans.scan import anomaly_records
+    scored = _w5_scored(spark, sf_dir).withColumn("severity", severity("anomaly_score")).withColumn("reason", F.lit("amount"))
+    times = views.txn_star(spark, sf_dir).select("transaction_id", F.col("transaction_date").alias("created_at"))
+    records = anomaly_records(scored).drop("created_at").join(times, "transaction_id")
+    p = lst.page(lst.apply_filters(records, severity="high"), "user_id", [F.col("created_at").desc(), F.col("transaction_id")], 0, 50,
                  kind="anomalies")
-    return p.select("user_id", "transaction_id", "anomaly_score", "severity", "reason",
-                    F.col("position").cast("bigint"), F.col("total").cast("bigint"))
+    return rounded(p.select("user_id", *lst.ANOMALY_FIELDS, F.col("position").cast("bigint"), F.col("total").cast("bigint")))
+
+
+# ---------------------------------------------------------------- linear models and the detection side at given values
+from spendlens.operators import forest  # noqa: E402
+
+def _given_linear(spark, sf_dir):
+    """The split documents and a linear model whose weights follow a rule, not a fit."""
+    from spendlens.operators import linear
+    d = _text(spark, sf_dir)
+    train = d.where(~F.col("is_test"))
+    idf = tc.fit_idf(tc.term_counts(train), train)
+    classes = tc.class_table(train).collect()
+    i = range(1, len(classes) + 1)
+    weights = idf.select("term", F.array(*[((F.length("term") + 3 * c) % 7 - 3) / 10.0 for c in i]).alias("w")).unionByName(
+        spark.range(1).select(F.lit(linear.BIAS).alias("term"), F.array(*[F.lit(0.1 * c) for c in i]).alias("w")))
+    return d, linear.LinearModel([c.category for c in classes], idf, weights)
+
+
+@register("svm_gradient")
+def q_svm_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: objective and gradient of every class's squared-hinge problem on the train split, at given weights."""
+    from spendlens.operators import linear
+    d, model = _given_linear(spark, sf_dir)
+    train, k = d.where(~F.col("is_test")), len(model.labels)
+    x = linear.with_bias(tc.tfidf(tc.term_counts(train), model.idf), train)
+    place = F.array_position(F.array(*[F.lit(c) for c in model.labels]), F.col("category")).cast("int") - 1
+    docs = train.join(tc.class_table(train).select("category", "weight"), "category").select("id", place.alias("label"), "weight") \
+        .join(linear.times(x, model.weights, "w", k, "m"), "id")
+    loss = linear.SquaredHinge(k)
+    g = linear.gradient(x, docs, model.weights, loss)
+    slopes = g.agg(F.array(*[F.sqrt(F.sum(F.col("g")[i] ** 2)) for i in range(k)]).alias("gradient_norm"),
+                   F.max(F.when(F.col("term") == linear.BIAS, F.col("g"))).alias("intercept_gradient"))
+    values = linear.objective(docs, model.weights, loss)
+    rows = spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(zip(model.labels, values))], "i int, category string, objective double")
+    return rounded(rows.crossJoin(F.broadcast(slopes)).select(  # one row beside one row a class
+        "category", "objective", *[F.element_at(c, F.col("i") + 1).alias(c) for c in ("gradient_norm", "intercept_gradient")]), 4)
+
+
+@register("categorizer_margins")
+def q_categorizer_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 + O6: class of the greatest margin and softmax confidence of every test document, at given weights."""
+    d, model = _given_linear(spark, sf_dir)
+    test = d.where("is_test")
+    top = model.margins(test).select("id", F.array_max("m").alias("margin"))
+    return rounded(model.predict(test).join(top, "id").select("id", "predicted", "margin", "confidence"))
+
+
+def _given_scores(spark, sf_dir):
+    """A score for every transaction; a third of all rows have the same one."""
+    from spendlens.session import stored
+    score = F.when(F.col("transaction_type") == "credit", F.lit(-8.0)).otherwise(-F.log1p("amount"))
+    return stored(views.txn_star(spark, sf_dir).select("transaction_id", "user_id", score.alias("score")), "scores")
+
+
+@register("flag_threshold")
+def q_flag_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13 + M14: the exact interpolated 5 % threshold of a score, and how many rows lie below it."""
+    from spendlens.operators.quantile import exact_quantile
+    s = _given_scores(spark, sf_dir)
+    t = F.lit(exact_quantile(s, "score", forest.CONTAMINATION))
+    return rounded(s.agg(F.max(t).alias("threshold"), F.count("*").alias("n"), F.count_if(forest.flag((F.col("score") - t))).alias("flagged"),
+                         F.max(F.lit(exact_quantile(s, "score", 0.9))).alias("upper")))
+
+
+@register("scan_summary")
+def q_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + F12 + M14: every user's scan status, message and counts, rows below the threshold being flagged."""
+    from spendlens.operators.quantile import exact_quantile
+    s = _given_scores(spark, sf_dir)
+    flagged = s.withColumn("is_anomaly", forest.flag(F.col("score") - F.lit(exact_quantile(s, "score", forest.CONTAMINATION))))
+    return det.scan_summary(s, flagged)
+
+
+@register("forest_path_score")
+def q_forest_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 + M14: scores of every transaction by three given trees (tree, node, feature, threshold, left, right, size, depth)."""
+    import pandas as pd
+
+    from spendlens.operators.expanding import FEATURE_NAMES
+    at = FEATURE_NAMES.index
+    nodes = [(0, 0, at("log_amount"), 9.8765, 1, 2, 8, 0), (0, 1, -1, 0.0, -1, -1, 3, 1), (0, 2, at("category_zscore"), 0.54321, 3, 4, 5, 1),
+             (0, 3, -1, 0.0, -1, -1, 1, 2), (0, 4, -1, 0.0, -1, -1, 4, 2),
+             (1, 0, at("is_new_merchant"), 0.5, 1, 4, 8, 0), (1, 1, at("day_of_week"), 3.5, 2, 3, 7, 1), (1, 2, -1, 0.0, -1, -1, 2, 2),
+             (1, 3, -1, 0.0, -1, -1, 5, 2), (1, 4, -1, 0.0, -1, -1, 1, 1),
+             (2, 0, at("merchant_zscore"), -0.12345, 1, 2, 8, 0), (2, 1, -1, 0.0, -1, -1, 6, 1), (2, 2, at("is_weekend"), 0.5, 3, 4, 2, 1),
+             (2, 3, -1, 0.0, -1, -1, 1, 2), (2, 4, -1, 0.0, -1, -1, 1, 2)]
+    pdf = pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    model = forest.ForestModel(FEATURE_NAMES, [0.0] * 6, [1.0] * 6, pdf, psi=8, offset=-0.55)
+    f = expanding_features(views.txn_star(spark, sf_dir)).select("transaction_id", "user_id", *FEATURE_NAMES)
+    return rounded(forest.decision(model, f).select("transaction_id", "user_id", "score", "is_anomaly"))
 
 
 @register("event_features")

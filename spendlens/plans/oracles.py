@@ -382,14 +382,14 @@ ORACLES["recurring_payments"] = duckdb_with("txn_star") + """
         where transaction_type = 'debit' and merchant is not null and merchant <> ''),
 g as (select *, day - lag(day) over (partition by user_id, merchant order by day, transaction_id) as gap from d),
 a as (select user_id, merchant, count(*) as payments, avg(amount) as avg_amount,
-        quantile_disc(gap, 0.5) as median_gap, avg(gap) as mean_gap, stddev_samp(gap) as std_gap,
+        quantile_cont(gap, 0.5) as median_gap, avg(gap) as mean_gap, stddev_samp(gap) as std_gap,
         max(day) as last_date from g group by user_id, merchant having count(*) >= 3),
 f as (select *, case when median_gap between 1 and 1 then 'DAILY' when median_gap between 6 and 8 then 'WEEKLY'
                      when median_gap between 26 and 35 then 'MONTHLY' when median_gap between 350 and 380 then 'YEARLY'
                 end as frequency from a)
-select user_id, merchant, frequency, payments, round(avg_amount, 4) as avg_amount, median_gap::int as median_gap,
+select user_id, merchant, frequency, payments, round(avg_amount, 4) as avg_amount, round(median_gap, 4) as median_gap,
   round(greatest(0.0, 1.0 - coalesce(case when mean_gap <> 0 then std_gap / mean_gap end, 0.0)), 4) as confidence,
-  last_date + median_gap::int as next_date
+  last_date + floor(median_gap)::int as next_date
 from f where frequency is not null"""
 
 ORACLES["spend_forecast"] = duckdb_with("txn_star") + """
@@ -445,3 +445,76 @@ from txn_events e join p using (event_id)"""
 ORACLES["statement_files"] = _STATEMENT + """
 select user_id, row_num, transaction_date, description, merchant, amount, transaction_type, currency,
   reference, error, content_hash from rows"""
+
+# ---------------------------------------------------------------- linear models at given weights
+# the weight of a term for class i (from 1) and the intercept: a rule, the same in the plan
+_LINEAR = _TEXT + """
+, k as (select category, row_number() over (order by category) as i,
+          (select sum(n_c) from cls) / ((select count(*) from cls) * n_c) as cw from cls),
+given as (select k.category, term, ((length(term) + 3 * k.i) % 7 - 3) / 10.0 as w from idf, k),
+margin as (
+  select d.id, d.category as truth, d.is_test, k.category, k.i, k.cw, 0.1 * k.i
+           + coalesce((select sum(x.weight * ((length(x.term) + 3 * k.i) % 7 - 3) / 10.0) from x where x.id = d.id), 0) as m
+  from docs d, k)
+"""
+
+ORACLES["svm_gradient"] = _LINEAR + """
+, s as (select *, case when truth = category then 1.0 else -1.0 end as y,
+          case when truth = category then cw else 1.0 end as c from margin where not is_test),
+l as (select *, greatest(0.0, 1 - y * m) as slack from s),
+g as (
+  select category, term, sum(-2 * c * y * slack * weight) as g from l join x using (id) group by category, term),
+gw as (select g.category, sum((g.g + v.w) * (g.g + v.w)) as gg, sum(v.w * v.w) as ww
+       from g join given v on v.category = g.category and v.term = g.term group by g.category),
+b as (select category, any_value(i) as i, sum(-2 * c * y * slack) as gb, sum(c * slack * slack) as loss from l group by category)
+select category, round(loss + 0.5 * (ww + (0.1 * i) * (0.1 * i)), 4) as objective,
+  round(sqrt(gg + (gb + 0.1 * i) * (gb + 0.1 * i)), 4) as gradient_norm, round(gb + 0.1 * i, 4) as intercept_gradient
+from b join gw using (category)"""
+
+ORACLES["categorizer_margins"] = _LINEAR + """
+, t as (select * from margin where is_test)
+select id, arg_min(category, struct_pack(neg := -m, cat := category)) as predicted, round(max(m), 6) as margin,
+  round(exp(max(m)) / sum(exp(m)), 6) as confidence
+from t group by id"""
+
+# ---------------------------------------------------------------- the detection side at a given score
+_FLAG = duckdb_with("txn_star") + """
+, s as (select transaction_id, user_id, case when transaction_type = 'credit' then -8.0 else -ln(1 + amount) end as score from txn_star),
+q as (select quantile_cont(score, 0.05) as threshold from s)
+"""
+
+ORACLES["flag_threshold"] = _FLAG + """
+select round(any_value(threshold), 6) as threshold, count(*) as n, count(*) filter (where score < threshold) as flagged,
+  round((select quantile_cont(score, 0.9) from s), 6) as upper from s, q"""
+
+ORACLES["scan_summary"] = _FLAG + """
+, u as (select user_id, count(*) as n, count(*) filter (where score < threshold) as k from s, q group by user_id)
+select user_id, case when n < 10 then 'insufficient_data' else 'completed' end as status,
+  case when n < 10 then 'Need at least 10 transactions for anomaly detection; you have ' || n || '.'
+       else 'Scanned ' || n || ' transactions, found ' || k || ' anomalies.' end as message,
+  case when n < 10 then 0 else k end as anomalies_found, n as transactions_scanned from u"""
+
+ORACLES["forest_path_score"] = """
+with f as (""" + ORACLES["txn_features"] + """),
+c(n, c) as (select n, case when n <= 1 then 0.0 when n = 2 then 1.0
+              else 2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n end from range(1, 9) r(n)),
+leaves as (
+  select transaction_id, user_id,
+    case when log_amount <= 9.8765 then [1, 3] when category_zscore <= 0.54321 then [2, 1] else [2, 4] end as a,
+    case when is_new_merchant <= 0.5 then (case when day_of_week <= 3.5 then [2, 2] else [2, 5] end) else [1, 1] end as b,
+    case when merchant_zscore <= -0.12345 then [1, 6] when is_weekend <= 0.5 then [2, 1] else [2, 1] end as c3
+  from f),
+h as (select l.*, (a[1] + ca.c + b[1] + cb.c + c3[1] + cc.c) / 3 as path
+      from leaves l join c ca on ca.n = a[2] join c cb on cb.n = b[2] join c cc on cc.n = c3[2])
+select transaction_id, user_id, round(-pow(2.0, -path / (select c from c where n = 8)), 6) as score,
+  -pow(2.0, -path / (select c from c where n = 8)) + 0.55 < 0 as is_anomaly
+from h"""
+
+ORACLES["anomalies_page"] = _W5 + """
+, a as (select s.user_id, s.transaction_id, s.anomaly_score, t.transaction_date as created_at
+        from scored s join txn_star t using (transaction_id) where s.anomaly_score >= 0.75),
+paged as (select *, row_number() over (partition by user_id order by created_at desc, transaction_id) as position,
+             count(*) over (partition by user_id) as total from a)
+select user_id, sha256(user_id || '|' || transaction_id) as anomaly_id, transaction_id, round(anomaly_score, 6) as anomaly_score,
+  'high' as severity, 'amount' as reason, created_at, position, total
+from paged where position <= 50"""
