@@ -33,6 +33,14 @@ TRANSACTION_FIELDS = ["transaction_id", "transaction_date", "description", "merc
 ANOMALY_FIELDS = ["anomaly_id", "transaction_id", "anomaly_score", "severity", "reason", "created_at"]
 IMPORT_FIELDS = ["import_id", "filename", "status", "total_rows", "imported_rows", "failed_rows",
                  "errors", "created_at"]
+# unique indexes, by table
+UNIQUE_KEYS = {
+    "transaction_imports": ["user_id", "file_hash"],
+    "categories": ["name", "user_id"],
+    "anomalies": ["transaction_id"],
+    "recurring_transactions": ["user_id", "merchant"],
+    "ml_models": ["name", "version"],
+}
 # ----------------------------------------------------------------
 
 
@@ -84,6 +92,18 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def audit_unique_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """A14 over several tables (names of ``UNIQUE_KEYS``): a row (table, key, n) for each key that
+    occurs more than once; ``key`` joins its parts with ``|``, NULL written as such."""
+    found = None
+    for name, df in tables.items():
+        keys = UNIQUE_KEYS[name]
+        text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+        rows = duplicate_keys(df, keys).select(F.lit(name).alias("table"), text.alias("key"), F.col("n").cast("bigint"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def insert_if_absent(existing: DataFrame, defaults: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Defaults not yet present (null-safe key match) appended to existing."""
     cond = None

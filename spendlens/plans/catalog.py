@@ -283,6 +283,26 @@ def q_unique_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("n", F.col("n").cast("bigint"))
 
 
+@register("unique_keys")
+def q_unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unique keys of all tables, audited on unconstrained rows for each of them."""
+    txn = views.txn_star(spark, sf_dir)
+    return lst.audit_unique_keys({
+        "transaction_imports": views.uploads(spark, sf_dir),
+        "categories": txn.select(F.col("category").alias("name"), "user_id"),
+        "anomalies": txn.where("is_injected_anomaly = 1"),
+        "recurring_transactions": txn.where("transaction_type = 'debit'"),
+        "ml_models": views.metric_history(spark, sf_dir).select(F.col("model_name").alias("name"), F.floor(F.col("version") / 2).alias("version"))})
+
+
+@register("owned_lookup")
+def q_owned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: every transaction asked for by id, credits by a stranger: those rows that belong to whoever asks."""
+    txn = views.txn_star(spark, sf_dir)
+    asks = txn.select("transaction_id", F.when(F.col("transaction_type") == "credit", F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"))
+    return rounded(lst.lookup_owned(txn, asks, "transaction_id", "user_id").select("transaction_id", "user_id", "amount"))
+
+
 @register("category_defaults")
 def q_category_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """System categories (user NULL) inserted where absent, null-safe keys."""
@@ -403,6 +423,16 @@ def q_spending_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.col("debit_count").cast("bigint"), "debit_avg"), 2)
 
 
+@register("spending_grains")
+def q_spending_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily and weekly debit totals by category with rollup subtotals; averages in whole cents, rounded down."""
+    txn = views.txn_star(spark, sf_dir)
+    day, week = (an.spending_rollup(txn, g).withColumn("grain", F.lit(g)) for g in ("day", "week"))
+    cents = F.round(F.col("debit_total") * 100).cast("bigint")
+    return day.unionByName(week).select("grain", "period", "category", F.col("level").cast("bigint"), F.round("debit_total", 2).alias("debit_total"),
+                                        F.col("debit_count").cast("bigint"), (F.floor(cents / F.col("debit_count")) / 100).alias("debit_avg"))
+
+
 @register("recurring_payments")
 def q_recurring_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: recurring debits per user and merchant."""

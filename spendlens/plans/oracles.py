@@ -518,3 +518,22 @@ paged as (select *, row_number() over (partition by user_id order by created_at
 select user_id, sha256(user_id || '|' || transaction_id) as anomaly_id, transaction_id, round(anomaly_score, 6) as anomaly_score,
   'high' as severity, 'amount' as reason, created_at, position, total
 from paged where position <= 50"""
+
+ORACLES["unique_keys"] = duckdb_with("txn_star", "uploads", "metric_history") + """
+, keys as (
+  select 'transaction_imports' as "table", user_id || '|' || file_hash as key from uploads
+  union all select 'categories', category || '|' || user_id from txn_star
+  union all select 'anomalies', transaction_id from txn_star where is_injected_anomaly = 1
+  union all select 'recurring_transactions', user_id || '|' || coalesce(merchant, 'NULL') from txn_star where transaction_type = 'debit'
+  union all select 'ml_models', model_name || '|' || (version // 2) from metric_history)
+select "table", key, count(*) as n from keys group by all having count(*) > 1"""
+
+ORACLES["owned_lookup"] = duckdb_with("txn_star") + """
+select transaction_id, user_id, round(amount, 6) as amount from txn_star where transaction_type <> 'credit'"""
+
+_GRAIN = """
+select '{g}' as grain, date_trunc('{g}', transaction_date)::date as period, category,
+  grouping(date_trunc('{g}', transaction_date)::date) * 2 + grouping(category) as level, round(sum(amount), 2) as debit_total,
+  count(*) as debit_count, (round(sum(amount) * 100)::bigint // count(*)) / 100 as debit_avg
+from txn_star where transaction_type = 'debit' group by rollup (date_trunc('{g}', transaction_date)::date, category)"""
+ORACLES["spending_grains"] = duckdb_with("txn_star") + _GRAIN.format(g="day") + " union all " + _GRAIN.format(g="week")
