@@ -9,7 +9,7 @@ ever sees more than one user's months or one user-merchant's payments.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,37 +91,40 @@ def recurring_payments(txn: DataFrame, user_col: str = "user_id", id_col: str =
 def spend_forecast(txn: DataFrame, user_col: str = "user_id", alpha: float = SES_ALPHA) -> DataFrame:
     """Simple exponential smoothing of each user's gap-filled daily debit
     total (level_0 = first day; days without debits count as 0).  Forecast for
-    h days = level * h, band = +-1.96 * daily std * sqrt(h).
-
-    Zero days only decay the level by (1 - alpha), so the final level is a
-    weighted sum over the *active* days:
-    level = (1-a)^(T - t0) * x_t0 + sum_{t > t0} a * (1-a)^(T - t) * x_t
-    -- one grouped aggregate, no per-day rows and no per-user arrays."""
+    h days = level * h, band = +-1.96 * residual std * sqrt(h), residuals being
+    the one-step errors of all days after the first (sample std; 0 with fewer than two).
+
+    A user's daily totals are folded in order of day: one entry per active day, so
+    as many as the calendar has at most, however many rows the user has.  The g
+    empty days before an active one have the residuals -L, -qL, ... (q = 1 - alpha),
+    whose sums have a closed form."""
+    q = 1 - alpha
     day = F.to_date("transaction_date")
-    daily = (txn.where(_is(DEBIT)).groupBy(user_col, day.alias("day"))
-                .agg(F.sum("amount").alias("x")))
-    span = daily.groupBy(user_col).agg(F.min("day").alias("t0"), F.max("day").alias("t1"))
-    j = daily.join(span, user_col)
-    age = F.datediff("t1", "day").cast("double")
-    w = F.when(F.col("day") == F.col("t0"), F.pow(F.lit(1 - alpha), age)) \
-         .otherwise(F.lit(alpha) * F.pow(F.lit(1 - alpha), age))
-    agg = j.groupBy(user_col, "t0", "t1").agg(
-        F.sum(w * F.col("x")).alias("level"), F.count(F.lit(1)).alias("na"),
-        F.avg("x").alias("ma"), (F.var_pop("x") * F.count(F.lit(1))).alias("m2a"))
-    # variance over all days of the span: active days (stable moments) merged
-    # with the zero days
-    n = (F.datediff("t1", "t0") + 1).cast("double")
-    na = F.col("na").cast("double")
-    mean = F.col("ma") * na / n
-    m2 = F.col("m2a") + na * (F.col("ma") - mean) * (F.col("ma") - mean) + (n - na) * mean * mean
-    var = F.when(n > 1, F.greatest(F.lit(0.0), m2 / (n - 1))).otherwise(F.lit(0.0))
-    out = agg.withColumn("daily_std", F.sqrt(var)).withColumn("days", n.cast("bigint"))
+    daily = txn.where(_is(DEBIT)).groupBy(user_col, day.alias("day")).agg(F.sum("amount").alias("x"))
+    days = daily.groupBy(user_col).agg(F.array_sort(F.collect_list(F.struct("day", "x"))).alias("__days"))
+    first = F.col("__days")[0]
+    start = F.struct(first["x"].alias("level"), first["day"].alias("last"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+
+    def after(state: Column, d: Column) -> Column:
+        gap = (F.datediff(d["day"], state["last"]) - 1).cast("double")
+        kept = F.pow(F.lit(q), gap)
+        now = state["level"] * kept
+        e = d["x"] - now
+        return F.struct((now + alpha * e).alias("level"), d["day"].alias("last"),
+                        (state["s1"] - state["level"] * (1 - kept) / (1 - q) + e).alias("s1"),
+                        (state["s2"] + state["level"] * state["level"] * (1 - kept * kept) / (1 - q * q) + e * e).alias("s2"))
+
+    rest = F.slice("__days", F.lit(2), F.size("__days"))
+    out = days.select(user_col, first["day"].alias("__t0"), F.aggregate(rest, start, after).alias("__end"))
+    n = F.datediff("__end.last", "__t0").cast("double")    # residuals: all days but the first
+    var = F.when(n >= 2, F.greatest(F.lit(0.0), (F.col("__end.s2") - F.col("__end.s1") * F.col("__end.s1") / n) / (n - 1))).otherwise(0.0)
+    out = out.select(user_col, (n + 1).cast("bigint").alias("days"), F.col("__end.level").alias("level"), F.sqrt(var).alias("residual_std"))
     horizons = F.explode(F.array(*[F.lit(h) for h in FORECAST_HORIZONS])).alias("horizon_days")
-    return (out.select(user_col, "days", "level", "daily_std", horizons)
+    return (out.select(user_col, "days", "level", "residual_std", horizons)
                .withColumn("forecast", F.col("level") * F.col("horizon_days"))
-               .withColumn("lower", F.greatest(F.lit(0.0), F.col("forecast") - F.lit(BAND_Z) * F.col("daily_std")
+               .withColumn("lower", F.greatest(F.lit(0.0), F.col("forecast") - F.lit(BAND_Z) * F.col("residual_std")
                                                 * F.sqrt(F.col("horizon_days").cast("double"))))
-               .withColumn("upper", F.col("forecast") + F.lit(BAND_Z) * F.col("daily_std")
+               .withColumn("upper", F.col("forecast") + F.lit(BAND_Z) * F.col("residual_std")
                            * F.sqrt(F.col("horizon_days").cast("double"))))
 
 

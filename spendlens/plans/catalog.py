@@ -444,9 +444,9 @@ def q_recurring_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_spend_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """7/30/90-day debit forecast per user (exponential smoothing + band)."""
     f = an.spend_forecast(views.txn_star(spark, sf_dir))
-    # whole currency units: the closed form and a day-by-day fold differ in the last bits
-    return rounded(f.select("user_id", F.col("horizon_days").cast("int"), "days", "forecast",
-                            "lower", "upper"), 0)
+    # to the cent, half cents up: smoothing whole cents often gives exact halves, which the last bits would decide
+    cent = lambda c: (F.floor(F.col(c) * 100 + 0.5001) / 100).alias(c)
+    return f.select("user_id", F.col("horizon_days").cast("int"), "days", cent("forecast"), cent("lower"), cent("upper"))
 
 
 @register("insights")

@@ -399,13 +399,15 @@ span as (select user_id, min(day) as t0, max(day) as t1 from daily group by user
 filled as (select s.user_id, g.day::date as day, coalesce(d.x, 0.0) as x
            from span s, generate_series(s.t0, s.t1, interval 1 day) g(day)
            left join daily d on d.user_id = s.user_id and d.day = g.day::date),
-series as (select user_id, list(x order by day) as xs, count(*) as days, stddev_samp(x) as sd from filled group by user_id),
-lv as (select user_id, days, list_reduce(xs, lambda acc, x: 0.3 * x + 0.7 * acc) as level,
-          coalesce(sd, 0.0) as sd from series),
+series as (select user_id, list({'l': x, 's1': 0.0::double, 's2': 0.0::double} order by day) as xs, count(*) as days from filled group by user_id),
+folded as (select user_id, days, list_reduce(xs, lambda acc, x: {'l': 0.3 * x.l + 0.7 * acc.l,
+             's1': acc.s1 + (x.l - acc.l), 's2': acc.s2 + (x.l - acc.l) * (x.l - acc.l)}) as z from series),
+lv as (select user_id, days, z.l as level,
+         case when days >= 3 then sqrt(greatest(0.0, (z.s2 - z.s1 * z.s1 / (days - 1)) / (days - 2))) else 0.0 end as sd from folded),
 h as (select *, unnest([7, 30, 90]) as horizon_days from lv)
-select user_id, horizon_days, days, round(level * horizon_days, 0) as forecast,
-  round(greatest(0.0, level * horizon_days - 1.96 * sd * sqrt(horizon_days)), 0) as lower,
-  round(level * horizon_days + 1.96 * sd * sqrt(horizon_days), 0) as upper
+select user_id, horizon_days, days, floor(level * horizon_days * 100 + 0.5001) / 100 as forecast,
+  floor(greatest(0.0, level * horizon_days - 1.96 * sd * sqrt(horizon_days)) * 100 + 0.5001) / 100 as lower,
+  floor((level * horizon_days + 1.96 * sd * sqrt(horizon_days)) * 100 + 0.5001) / 100 as upper
 from h"""
 
 ORACLES["insights"] = duckdb_with("txn_star") + """
