@@ -68,6 +68,20 @@ def test_passages_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert bwt_dedup.dedup_passages(no_docs).count() == 0
 
 
+def test_work_of_a_block_does_not_grow_with_the_buckets(spark, odd_docs, monkeypatch):
+    """More buckets than bytes: still only those that occur are visited, with the same rows."""
+    monkeypatch.setattr(bwt_dedup, "_bucket", lambda values, buckets: ((values >> np.uint64(40)) % np.uint64(200_000)).astype(np.int64))
+    docs = odd_docs.where("doc_id is null or doc_id not in (5, 6)")
+    got = sorted((tuple(r) for r in bwt_dedup.dedup_passages(docs).collect()), key=str)
+    assert got == passages_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+    rng = np.random.default_rng(1)
+    bucket = rng.integers(0, 50_000_000, 5000)
+    order, spans = bwt_dedup._by_bucket(bucket)
+    assert len(spans) == len(set(bucket.tolist()))
+    assert all((bucket[order[a:z]] == b).all() and z > a for b, (a, z) in spans.items()) and sum(z - a for a, z in spans.values()) == 5000
+    assert bwt_dedup._by_bucket(bucket[:0])[1] == {}
+
+
 def simhash(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
