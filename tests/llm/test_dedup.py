@@ -22,7 +22,7 @@ def least_of(strings, values, depth):
 def test_merged_transforms_find_equal_strings(monkeypatch):
     rng = random.Random(3)
     for _ in range(120):
-        depth = rng.choice([3, 5, 10, 12])
+        depth = rng.choice([3, 5, 10, 12, 17])
         monkeypatch.setattr(bwt, "SHARD", rng.choice([20, 60, 200, 100000]))
         base = bytes(rng.choice(b"ab\x00\xfe") for _ in range(60))
         strings = set()
