@@ -72,14 +72,15 @@ def by_bytes(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[st
 class Memo:
     """What ``encode`` gives for chunks: looked up, and computed in batches for those not met before."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known, self.older, self.long = encode, {}, {}, []
+    def __init__(self, encode: Callable[[list[str]], list], least: int = KEPT):
+        """least: how many chunks are remembered at least."""
+        self.encode, self.least, self.known, self.older, self.long = encode, least, {}, {}, []
 
     def of(self, chunks: list[list[str]]) -> dict:
         """The results for all chunks of some texts, until the next call."""
         for chunk in self.long:
             self.known.pop(chunk, None)
-        if len(self.known) > KEPT:  # what is met again comes back from the older half
+        if len(self.known) > self.least:  # what is met again comes back from the older half
             self.known, self.older = {}, self.known
         new = set().union(*chunks).difference(self.known)
         again = new.intersection(self.older)

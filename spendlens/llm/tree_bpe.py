@@ -31,6 +31,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 PLAIN = re.compile("[!-~\xa1-\xff]+")
 #: Longer pieces that the tokenizer merges as a whole go through the tree.
 LEAF = 128
+#: Runs whose ids and decoded text a worker remembers at least, twice as many at most; about 250 bytes each.
+RUNS = 250_000
 #: Tokens on either side in the first window.
 WINDOW = 4
 
@@ -144,15 +146,18 @@ class Coder:
         """Ids of each run."""
         return [np.frombuffer(b, "<u4").tolist() for b in self.packed(runs)]
 
-    def told(self, runs: list[str]) -> list[tuple[int, str, str]]:
-        """Of each run: number of ids, the ids as text, and what the library decodes them to."""
+    def told(self, runs: list[str]) -> list[str]:
+        """Of each run one string: its ids, a line feed, and what the library decodes them to; empty if there are no ids.
+
+        Tokens spell parts of the run, and a run holds no line feed, so there is just one.
+        """
         ids = self.encode(runs)
-        return [(len(x), " ".join(map(str, x)), d) for x, d in zip(ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True)]
+        return [" ".join(map(str, x)) + "\n" + d if x else "" for x, d in zip(ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True)]
 
 
-def memo(path: str, what: str) -> chunks.Memo:
+def memo(path: str, what: str, least: int = chunks.KEPT) -> chunks.Memo:
     """Run -> what a Coder's method gives for it, for the worker."""
-    return chunks.kept(f"{what} {path}", lambda: chunks.Memo(getattr(Coder(path), what)))
+    return chunks.kept(f"{what} {path}", lambda: chunks.Memo(getattr(Coder(path), what), least))
 
 
 def runs_of(text: str) -> list[str]:
@@ -182,13 +187,12 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         for batch in batches:
             for part in chunks.text_slices(batch, "text"):
                 runs = [runs_of(t or "") for t in part.column("text").to_pylist()]
-                known = memo(path, "told").of(runs)
+                known = memo(path, "told", RUNS).of(runs)
                 out: list[list] = [[], [], [], [], []]
                 for own in runs:
-                    told = [known[r] for r in own]
-                    told = [t for t in told if t[0]]
-                    ids, decoded = " ".join([t[1] for t in told]), " ".join([t[2] for t in told])
-                    out[0].append(sum([t[0] for t in told]))
+                    told = "\n".join(filter(None, map(known.__getitem__, own))).split("\n")
+                    ids, decoded = " ".join(told[::2]), " ".join(told[1::2])
+                    out[0].append(ids.count(" ") + 1 if ids else 0)
                     out[1].append(hashlib.sha256(ids.encode()).hexdigest())
                     out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if texts:
