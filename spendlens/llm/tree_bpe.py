@@ -146,13 +146,17 @@ class Coder:
         """Ids of each run."""
         return [np.frombuffer(b, "<u4").tolist() for b in self.packed(runs)]
 
-    def told(self, runs: list[str]) -> list[str]:
-        """Of each run one string: its ids, a line feed, and what the library decodes them to; empty if there are no ids.
+    def told(self, runs: list[str]) -> list[tuple[int, str, str]]:
+        """Of each run: number of ids, the ids as text, and what the library decodes them to."""
+        ids = self.encode(runs)
+        return [(len(x), " ".join(map(str, x)), d) for x, d in zip(ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True)]
+
+    def lines(self, runs: list[str]) -> list[str]:
+        """Of each run one string: its ids, a line feed and what they decode to; empty if there are no ids.
 
         Tokens spell parts of the run, and a run holds no line feed, so there is just one.
         """
-        ids = self.encode(runs)
-        return [" ".join(map(str, x)) + "\n" + d if x else "" for x, d in zip(ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True)]
+        return [ids + "\n" + decoded if n else "" for n, ids, decoded in self.told(runs)]
 
 
 def memo(path: str, what: str, least: int = chunks.KEPT) -> chunks.Memo:
@@ -187,7 +191,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         for batch in batches:
             for part in chunks.text_slices(batch, "text"):
                 runs = [runs_of(t or "") for t in part.column("text").to_pylist()]
-                known = memo(path, "told", RUNS).of(runs)
+                known = memo(path, "lines", RUNS).of(runs)
                 out: list[list] = [[], [], [], [], []]
                 for own in runs:
                     told = "\n".join(filter(None, map(known.__getitem__, own))).split("\n")

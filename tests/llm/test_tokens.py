@@ -37,6 +37,8 @@ def test_tree_encoding_and_decoding_equal_the_library():
     for text, ids in zip(some, expected, strict=True):
         told = [t for t in coder.told(tree_bpe.runs_of(text)) if t[0]]
         assert " ".join(t[2] for t in told) == tok.decode(ids, skip_special_tokens=False)
+        lines = "\n".join(filter(None, coder.lines(tree_bpe.runs_of(text)))).split("\n")
+        assert " ".join(lines[::2]) == " ".join(map(str, ids)) and " ".join(lines[1::2]) == tok.decode(ids, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("leaf", [2, 3, 7, 32])
