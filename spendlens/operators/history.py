@@ -2,8 +2,8 @@
 
 Both map per-(user, key) group statistics back onto every row.  Groups are a
 grouped aggregate (partial + final, so a huge user or merchant is combined
-map-side) joined back on the keys and a salt (``joinback``), so a hot key does
-not land in one task; a NULL key finds no group, as in a pandas ``groupby``.
+map-side) joined back on the keys, hot ones dealt over salts (``joinback``), so a
+hot key does not land in one task; a NULL key finds no group, as in a pandas ``groupby``.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from spendlens.operators.joinback import join_back
 UNKNOWN_MERCHANT = "UNKNOWN_MERCHANT"
 
 
-def group_stats(df: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
-    """A1 + A2: count, mean and sample std per group (std NULL for one row)."""
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_count"),
+def group_stats(df: DataFrame, base: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
+    """A1 + A2: count, mean and sample std per group (std NULL for one row).
+
+    The statistics are taken from ``base``, the rows before any join, so that no
+    aggregate runs the joins of the one before it again."""
+    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}_count"),
                                   F.avg(value).alias(f"{prefix}_mean"),
                                   F.stddev_samp(value).alias(f"{prefix}_std"))
-    return join_back(df, stats, keys)
+    return join_back(df, stats, keys, count=f"{prefix}_count")
 
 
 def _weekday_day(ts: Column) -> list[Column]:
@@ -34,8 +37,9 @@ def features_a(txn: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Merchant key = merchant else description; log1p(|amount|);
     frequencies; z-scores that are 0.0 when the group std is NULL or 0."""
     d = txn.withColumn("merchant_key", F.coalesce("merchant", "description"))
-    d = group_stats(d, [user_col, "merchant_key"], "amount", "mk")
-    d = group_stats(d, [user_col, "category"], "amount", "ck")
+    base = d
+    d = group_stats(d, base, [user_col, "merchant_key"], "amount", "mk")
+    d = group_stats(d, base, [user_col, "category"], "amount", "ck")
 
     def z(prefix: str) -> Column:
         ok = F.col(f"{prefix}_std").isNotNull() & (F.col(f"{prefix}_std") != 0)
@@ -57,10 +61,11 @@ def features_b(txn: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Merchant NULL -> UNKNOWN_MERCHANT; log1p(amount); z-scores with a
     divisor of 1.0 when the group has one row or no spread; frequency ratios."""
     d = txn.withColumn("merchant_b", F.coalesce("merchant", F.lit(UNKNOWN_MERCHANT)))
-    d = group_stats(d, [user_col, "merchant_b"], "amount", "mb")
-    d = group_stats(d, [user_col, "category"], "amount", "cb")
-    totals = d.groupBy(user_col).agg(F.count(F.lit(1)).alias("__total"))
-    d = join_back(d, totals, [user_col], null_safe=True)
+    base = d
+    d = group_stats(d, base, [user_col, "merchant_b"], "amount", "mb")
+    d = group_stats(d, base, [user_col, "category"], "amount", "cb")
+    totals = base.groupBy(user_col).agg(F.count(F.lit(1)).alias("__total"))
+    d = join_back(d, totals, [user_col], null_safe=True, count="__total")
 
     def z(prefix: str) -> Column:
         n, sd = F.col(f"{prefix}_count"), F.col(f"{prefix}_std")

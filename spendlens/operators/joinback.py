@@ -1,31 +1,72 @@
 """Group statistics put back on rows, safe for hot keys.
 
-The statistics have one row per key, so they can be repeated over a fixed
-number of salts at little cost; the rows are dealt by key *and* salt (a hash
-of the row).  A key that holds a third of all rows is then spread over
-``SALTS`` join partitions, whatever adaptive execution decides: the
-aggregate's exchange is never the join's input, which Spark could not split.
+An aggregate's exchange is never the join's input, which Spark could not
+split: rows are dealt by key *and* salt (a hash of the row), and the
+statistics, one row per key, are repeated over their key's salts.
+
+With ``count`` (the column that holds a key's rows) the salts follow from the
+measured skew.  A key is hot when it holds more rows than an average shuffle
+partition, so there are fewer hot keys than partitions: that list (hash of the
+key, salts) has a proven size and is broadcast.  Only hot keys are repeated,
+ceil(rows / bound) times each, which adds fewer rows than two per partition,
+however many keys there are.  Without ``count`` every key has ``SALTS`` salts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
+#: Keys with no more rows than this are never split.
+FLOOR = 1 << 16
+
+
+def hot_keys(stats: DataFrame, keys: list[str], count: str, floor: int = FLOOR) -> DataFrame:
+    """(__key, __salts): hash and number of salts of every key above the bound; fewer rows than shuffle partitions."""
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = stats.agg(F.sum(count)).scalar()
+    bound = F.greatest(F.lit(float(floor)), total / F.lit(float(parts)))
+    return (stats.where(F.col(count) > bound)
+            .select(F.xxhash64(*keys).alias("__key"), F.ceil(F.col(count) / bound).cast("int").alias("__salts"))
+            .groupBy("__key").agg(F.max("__salts").alias("__salts")))
+
+
+def _with_salts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``__salts`` of each row's key: both sides take it from one list by one hash, so they agree whatever collides."""
+    return (df.withColumn("__key", F.xxhash64(*keys)).join(F.broadcast(hot), "__key", "left")
+            .withColumn("__salts", F.coalesce("__salts", F.lit(1))).drop("__key"))
+
+
+def repeated(stats: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics, those of hot keys once for each salt."""
+    return (_with_salts(stats, hot, keys)
+            .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts"))
 
 
 def join_back(rows: DataFrame, stats: DataFrame, keys: list[str], salts: int = SALTS,
-              null_safe: bool = False, salt_by: list[str] | None = None) -> DataFrame:
-    """Left join of ``stats`` (unique on ``keys``) onto ``rows``.
+              null_safe: bool = False, salt_by: list[str] | None = None,
+              count: str | None = None, floor: int = FLOOR) -> DataFrame:
+    """Left join of ``stats`` (unique on ``keys``, of the rows' types) onto ``rows``.
 
     ``null_safe``: NULL keys meet NULL keys; else they find no statistics.
     ``salt_by``: columns whose hash deals the rows (default: all columns).
+    ``count``: the column of ``stats`` with the number of rows of a key.
     """
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*(salt_by or rows.columns)), F.lit(salts)).cast("int"))
-    right = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = F.xxhash64(*(salt_by or rows.columns))
+
+    def salt(n: Column) -> Column:
+        return F.pmod(dealt, n).cast("int")
+
+    if count is None:
+        left = rows.withColumn("__salt", salt(F.lit(salts)))
+        right = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    else:
+        hot = hot_keys(stats, keys, count, floor)
+        left = _with_salts(rows, hot, keys).withColumn("__salt", salt(F.col("__salts")))
+        right = repeated(stats, hot, keys)
     if not null_safe:
         return left.join(right, [*keys, "__salt"], "left").select(
             *rows.columns, *[c for c in stats.columns if c not in keys])

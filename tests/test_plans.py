@@ -70,3 +70,32 @@ def test_rows_without_a_key_keep_their_group(spark):
     stats = rows.groupBy("user_id").agg(F.count("*").alias("n"))
     assert {r.id: r.n for r in join_back(rows, stats, ["user_id"], null_safe=True).collect()} == {1: 1, 2: 2, 3: 2}
     assert {r.id: r.n for r in join_back(rows, stats, ["user_id"]).collect()} == {1: 1, 2: None, 3: None}
+
+
+def test_only_hot_keys_are_repeated(spark):
+    """Salts by measured skew: as many statistics as keys and fewer than two more a
+    partition; a user with a third of all rows and rows without a user are both split."""
+    from spendlens.operators import joinback
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+                                           "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        rows = spark.range(60000).selectExpr("id", "case id % 6 when 0 then 0 when 1 then 0 when 2 then null else id end as user_id")
+        stats = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+        hot = joinback.hot_keys(stats, ["user_id"], "n", 1000)
+        assert sorted(r["__salts"] for r in hot.collect()) == [3, 6]  # 10,000 and 20,000 rows, 3,750 a partition
+        assert joinback.repeated(stats, hot, ["user_id"]).count() == stats.count() + 2 + 5 < stats.count() + 2 * 16
+        for null_safe in (False, True):
+            out = joinback.join_back(rows, stats, ["user_id"], null_safe=null_safe, count="n", floor=1000)
+            sizes = [r[1] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            got = {r.user_id: (r.n, r.rows) for r in out.where("user_id is null or user_id = 0")
+                   .groupBy("user_id", "n").agg(F.count("*").alias("rows")).collect()}
+            assert got == {0: (20000, 20000), None: (10000 if null_safe else None, 10000)}
+            assert sum(sizes) == 60000 and max(sizes) < 20000, sizes
+            assert out.where("user_id > 0 and n <> 1").count() == 0
+        assert joinback.hot_keys(stats, ["user_id"], "n").count() == 0  # below the floor nothing is split
+        assert "Expand" not in _plan(joinback.join_back(rows, stats, ["user_id"], count="n"))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
