@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spendlens.operators.joinback import join_back
+from spendlens.operators.joinback import FLOOR, join_back, split_hot
 
 # fixed value: merchant placeholder of feature set B
 UNKNOWN_MERCHANT = "UNKNOWN_MERCHANT"
@@ -28,6 +29,28 @@ def group_stats(df: DataFrame, base: DataFrame, keys: list[str], value: str, pre
     return join_back(df, stats, keys, count=f"{prefix}_count")
 
 
+def user_stats(df: DataFrame, user: str, key: str, value: str, prefix: str) -> DataFrame:
+    """``group_stats`` of rows that are dealt by user, as windows; rows without a user or key find no group."""
+    w = Window.partitionBy(user, key)
+    known = F.col(user).isNotNull() & F.col(key).isNotNull()
+    return df.select("*", *[F.when(known, a.over(w)).alias(f"{prefix}_{n}") for n, a in (
+        ("count", F.count(F.lit(1))), ("mean", F.avg(value)), ("std", F.stddev_samp(value)))])
+
+
+def both_stats(d: DataFrame, user: str, keys: dict[str, str], total: str | None = None, floor: int = FLOOR) -> DataFrame:
+    """Statistics of ``amount`` by user and each key (prefix -> key), and with ``total`` the user's rows, on every row of
+    a stored table.  Rows of users that fit one task are dealt by user once; those of hot users are joined back."""
+    usual, hot = split_hot(d, user, floor)
+    base = hot
+    usual = usual.repartition(user)
+    for prefix, key in keys.items():
+        usual, hot = user_stats(usual, user, key, "amount", prefix), group_stats(hot, base, [user, key], "amount", prefix)
+    if total:
+        usual = usual.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(user)))
+        hot = join_back(hot, base.groupBy(user).agg(F.count(F.lit(1)).alias(total)), [user], null_safe=True, count=total)
+    return usual.unionByName(hot)
+
+
 def _weekday_day(ts: Column) -> list[Column]:
     return [F.weekday(ts).cast("double").alias("day_of_week"),
             F.dayofmonth(ts).cast("double").alias("day_of_month")]
@@ -37,9 +60,7 @@ def features_a(txn: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Merchant key = merchant else description; log1p(|amount|);
     frequencies; z-scores that are 0.0 when the group std is NULL or 0."""
     d = txn.withColumn("merchant_key", F.coalesce("merchant", "description"))
-    base = d
-    d = group_stats(d, base, [user_col, "merchant_key"], "amount", "mk")
-    d = group_stats(d, base, [user_col, "category"], "amount", "ck")
+    d = both_stats(d, user_col, {"mk": "merchant_key", "ck": "category"})
 
     def z(prefix: str) -> Column:
         ok = F.col(f"{prefix}_std").isNotNull() & (F.col(f"{prefix}_std") != 0)
@@ -61,11 +82,7 @@ def features_b(txn: DataFrame, user_col: str = "user_id") -> DataFrame:
     """Merchant NULL -> UNKNOWN_MERCHANT; log1p(amount); z-scores with a
     divisor of 1.0 when the group has one row or no spread; frequency ratios."""
     d = txn.withColumn("merchant_b", F.coalesce("merchant", F.lit(UNKNOWN_MERCHANT)))
-    base = d
-    d = group_stats(d, base, [user_col, "merchant_b"], "amount", "mb")
-    d = group_stats(d, base, [user_col, "category"], "amount", "cb")
-    totals = base.groupBy(user_col).agg(F.count(F.lit(1)).alias("__total"))
-    d = join_back(d, totals, [user_col], null_safe=True, count="__total")
+    d = both_stats(d, user_col, {"mb": "merchant_b", "cb": "category"}, total="__total")
 
     def z(prefix: str) -> Column:
         n, sd = F.col(f"{prefix}_count"), F.col(f"{prefix}_std")
