@@ -44,7 +44,7 @@ def test_a_hot_user_gives_the_same_prior_statistics(spark):
 
 def test_both_keys_of_usual_users_share_one_exchange(spark):
     rows = _rows(spark)
-    plan = _plan(running._pair_by_user(rows, "user_id", ("category", "merchant"), ["transaction_date"], "amount", ("cat", "mer")))
+    plan = _plan(running._pair_by_user(rows, "user_id", ("category", "merchant"), ["transaction_date"], expanding.day_bucket(), "amount", ("cat", "mer")))
     assert len(re.findall(r"Exchange", plan)) == 1
 
 
@@ -79,3 +79,11 @@ def test_paths_of_columns_equal_a_walk_row_by_row():
                 n = tree[n.left if X[i, n.feature] <= n.threshold else n.right]
             lengths.append(n.depth + forest.avg_path_length(n.size))
         assert math.isclose(got[i], -2.0 ** (-np.mean(lengths) / 2.0), rel_tol=1e-12)
+
+
+def test_rows_without_a_date_count_as_prior_rows_only(spark):
+    rows = stored(_rows(spark).withColumn("transaction_date", F.when(F.col("transaction_id") > "t0009", F.col("transaction_date"))), "rows")
+    args = ("user_id", ("category", "merchant"), ["transaction_date", "transaction_id"], expanding.day_bucket(), "amount", ("cat", "mer"))
+    a, b = ({r.transaction_id: (r.cat_n, r.mer_n) for r in d.collect()} for d in (
+        running.prior_stats_pair(rows, *args), running._pair_by_bucket(rows, *args)))
+    assert a == b and len(a) == 590
