@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendlens.operators.joinback import FLOOR, join_back, split_hot
+from spendlens.operators.joinback import FLOOR, dealt, join_back, split_hot
 
 # fixed value: merchant placeholder of feature set B
 UNKNOWN_MERCHANT = "UNKNOWN_MERCHANT"
@@ -42,7 +42,7 @@ def both_stats(d: DataFrame, user: str, keys: dict[str, str], total: str | None
     a stored table.  Rows of users that fit one task are dealt by user once; those of hot users are joined back."""
     usual, hot = split_hot(d, user, floor)
     base = hot
-    usual = usual.repartition(user)
+    usual = dealt(usual, d, user)
     for prefix, key in keys.items():
         usual, hot = user_stats(usual, user, key, "amount", prefix), group_stats(hot, base, [user, key], "amount", prefix)
     if total:

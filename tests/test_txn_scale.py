@@ -87,3 +87,22 @@ def test_rows_without_a_date_count_as_prior_rows_only(spark):
     a, b = ({r.transaction_id: (r.cat_n, r.mer_n) for r in d.collect()} for d in (
         running.prior_stats_pair(rows, *args), running._pair_by_bucket(rows, *args)))
     assert a == b and len(a) == 590
+
+
+def test_tasks_of_windows_follow_the_rows(spark, monkeypatch):
+    rows = _rows(spark)
+    assert joinback.dealt(rows, rows, "user_id").rdd.getNumPartitions() == 8
+    monkeypatch.setattr(joinback, "TASK_ROWS", 20)
+    assert joinback.dealt(rows.where("user_id = 1"), rows, "user_id").rdd.getNumPartitions() == 30
+    plan = _plan(history.both_stats(rows, "user_id", {"m": "merchant", "c": "category"}))
+    assert re.search(r"Exchange hashpartitioning\(user_id#\d+L?, 30\)", plan), plan
+
+
+def test_descriptions_are_stored_only_where_they_are_read(spark, sf, monkeypatch):
+    from spendlens.plans import catalog
+    kept = []
+    monkeypatch.setattr(catalog, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    out = catalog.q_history_features_a(spark, sf)
+    found = kept[0].agg(F.count_if(F.expr("description is not null and merchant is not null")), F.count_if(F.expr("description is not null"))).first()
+    assert found[0] == 0 < found[1]
+    assert out.where("merchant_key is null").isEmpty()
