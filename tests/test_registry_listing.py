@@ -50,3 +50,13 @@ def test_listing_validation_and_pages(spark):
     defaults = spark.createDataFrame([(c, None, True) for c in lst.DEFAULT_CATEGORIES],
                                      "name string, user_id string, is_system boolean")
     assert lst.insert_if_absent(cats, defaults, ["name", "user_id"]).count() == 17
+
+
+def test_a_page_of_anomalies_scores_once_and_makes_whole_records_last(spark, sf):
+    from spendlens.plans import catalog
+    out = catalog.q_anomalies_page(spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "decision" not in plan and "amount#" not in plan   # scored and joined in the stored table
+    rows = out.collect()
+    assert rows and all(r.severity == "high" and r.reason == "amount" and len(r.anomaly_id) == 64 and r.created_at for r in rows)
+    assert out.columns[:2] == ["user_id", "anomaly_id"] and out.columns[-2:] == ["position", "total"]
