@@ -51,19 +51,20 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[n
         key = (seq[:-1] << 32) | seq[1:]
         slot = ((key * -7046029254386353131).view(np.uint64) >> np.uint64(43)).astype(np.int64)
         at = np.flatnonzero(np.bincount(slot, minlength=1 << 21)[slot] >= least)  # others are too rare to be frequent
-        order = at[np.argsort(key[at], kind="stable")]
+        order = at[np.argsort(key[at])]  # equal pairs in any order
         if not len(order):
             break
         run = key[order]
         first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         count = np.diff(np.append(first, len(run)))
-        rank = np.empty(len(first), np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(len(first))
+        often = np.flatnonzero(count >= least)
+        rank = np.full(len(first), np.iinfo(np.int32).max, np.int32)
+        rank[often[np.argsort(-count[often], kind="stable")]] = np.arange(len(often), dtype=np.int32)
         # priority of the pair at each place; where pairs overlap the more frequent, then the left one, is replaced
         none = np.iinfo(np.int32).max
-        pair = np.full(len(seq) + 1, none, np.int32)
-        often = count >= least
-        pair[order] = np.repeat(np.where(often, rank, none), count).astype(np.int32)
+        pair, kind = np.full(len(seq) + 1, none, np.int32), np.empty(len(seq), np.int32)
+        kind[order] = np.repeat(np.arange(len(first), dtype=np.int32), count)
+        pair[order] = rank[kind[order]]
         taken = np.zeros(len(seq) + 1, bool)
         for _ in range(4):
             left = np.concatenate(([none], pair[:-1]))
@@ -74,14 +75,13 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[n
             pair[1:][win[:-1]] = none
             pair[:-1][win[1:]] = none
         place = np.flatnonzero(taken[:-1])
-        place_key = key[place]
-        kinds, which, used = np.unique(place_key, return_inverse=True, return_counts=True)
+        used = np.bincount(kind[place], minlength=len(first))
         good = used > 2
         if not good.any():
             break
-        keep = good[which]
-        place, which = place[keep], (np.cumsum(good) - 1)[which[keep]]
-        kinds = kinds[good]
+        keep = good[kind[place]]
+        place, which = place[keep], (np.cumsum(good) - 1)[kind[place[keep]]]
+        kinds = run[first[good]]
         pairs = np.stack([kinds >> 32, kinds & 0xFFFFFFFF], axis=1)
         rules.append(pairs)
         both = np.where(pairs >= BASE, size[np.maximum(pairs - BASE, 0)] if made else 1, 1)

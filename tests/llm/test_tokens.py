@@ -97,3 +97,15 @@ def test_files_of_ids(spark, odd_docs, no_docs):
     keys = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert keys == sorted(keys, key=lambda k: (k is not None, k))
     assert repair_ids.read_ids(repair_ids.write_ids(no_docs, WORD)).count() == 0
+
+
+def test_repair_numbers_its_rules_by_pair():
+    """The rules of a round in the order of their pairs, whatever the order of equal keys in the sort."""
+    import numpy as np
+
+    from spendlens.llm import repair_ids
+    ids = np.random.default_rng(5).integers(0, 6, 30_000)
+    seq, rules, lengths = repair_ids.repair(ids, rounds=1)
+    assert (np.diff(rules[:, 0] << 32 | rules[:, 1]) > 0).all() and (lengths == 2).all()
+    assert (np.bincount(seq[seq >= repair_ids.BASE] - repair_ids.BASE, minlength=len(rules)) > 2).all()
+    assert (repair_ids.expand(seq, rules) == ids).all()
