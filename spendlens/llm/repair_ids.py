@@ -36,52 +36,84 @@ END = 2
 BASE = 1 << 17
 #: Ids in a shard, about; rounds of replacement, and how often a pair must stand in the shard.
 SHARD_IDS, ROUNDS, LEAST = 1 << 20, 8, 6
+#: Slots that a round counts pairs in, as a power of two.
+SLOT_BITS = 21
+#: Bytes of text that are encoded at once, about.
+SLICE_BYTES = 16 << 20
 #: Bytes of text in a file, about.
 FILE_BYTES = 32 << 20
 
 
+def frequent(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, pair of each place, pairs ascending, how often each stands) of the pairs that stand at the places ``at``,
+    without those in slots of a hash that are met fewer than ``least`` times."""
+    a = seq.view(np.uint32)
+    slot = a[at] * np.uint32(2654435761) + a[at + 1] * np.uint32(2246822519)
+    slot ^= slot >> np.uint32(15)
+    slot *= np.uint32(739982445)
+    slot >>= np.uint32(32 - SLOT_BITS)
+    full = np.bincount(slot, minlength=1 << SLOT_BITS) >= least
+    some = full[slot]
+    at, slot = at[some], slot[some]
+    key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+    # a slot of one pair numbers its places; those of slots with more pairs are sorted
+    one = np.empty(1 << SLOT_BITS, np.int64)
+    one[slot] = key
+    mixed = np.zeros(1 << SLOT_BITS, bool)
+    mixed[slot[one[slot] != key]] = True
+    shared = mixed[slot]
+    full &= ~mixed
+    alone = np.flatnonzero(full)
+    others, which = np.unique(key[shared], return_inverse=True)
+    pairs = np.concatenate([one[alone], others])
+    by = np.argsort(pairs)
+    number = np.empty(len(pairs), np.int32)
+    number[by] = np.arange(len(pairs), dtype=np.int32)
+    of_slot = np.empty(1 << SLOT_BITS, np.int32)
+    of_slot[alone] = number[:len(alone)]
+    kind = of_slot[slot]
+    kind[shared] = number[len(alone):][which]
+    return at, kind, pairs[by], np.bincount(kind, minlength=len(pairs))
+
+
 def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules as pairs, expansion lengths) of ids below BASE; the rules of a round use those before it."""
-    seq, rules, lengths = ids.astype(np.int64), [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    seq, rules, lengths = ids.astype(np.int32), [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
     made = 0
     size = np.ones(0, np.int64)
+    none = np.iinfo(np.int32).max
+    at = np.arange(len(seq) - 1)
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        slot = ((key * -7046029254386353131).view(np.uint64) >> np.uint64(43)).astype(np.int64)
-        at = np.flatnonzero(np.bincount(slot, minlength=1 << 21)[slot] >= least)  # others are too rare to be frequent
-        order = at[np.argsort(key[at])]  # equal pairs in any order
-        if not len(order):
+        at, kind, run, count = frequent(seq, at, least)
+        if not len(at):
             break
-        run = key[order]
-        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-        count = np.diff(np.append(first, len(run)))
         often = np.flatnonzero(count >= least)
-        rank = np.full(len(first), np.iinfo(np.int32).max, np.int32)
+        rank = np.full(len(run), none, np.int32)
         rank[often[np.argsort(-count[often], kind="stable")]] = np.arange(len(often), dtype=np.int32)
         # priority of the pair at each place; where pairs overlap the more frequent, then the left one, is replaced
-        none = np.iinfo(np.int32).max
-        pair, kind = np.full(len(seq) + 1, none, np.int32), np.empty(len(seq), np.int32)
-        kind[order] = np.repeat(np.arange(len(first), dtype=np.int32), count)
-        pair[order] = rank[kind[order]]
-        taken = np.zeros(len(seq) + 1, bool)
+        pair = np.full(len(seq) + 2, none, np.int32)
+        left, here, right = pair[:-2], pair[1:-1], pair[2:]
+        here[at] = rank[kind]
+        taken = np.zeros(len(seq), bool)
         for _ in range(4):
-            left = np.concatenate(([none], pair[:-1]))
-            right = np.append(pair[1:], none)
-            win = (pair < none) & (pair < left) & (pair <= right)
+            win = (here < left) & (here <= right)
             taken |= win
-            pair[win] = none
-            pair[1:][win[:-1]] = none
-            pair[:-1][win[1:]] = none
-        place = np.flatnonzero(taken[:-1])
-        used = np.bincount(kind[place], minlength=len(first))
+            gone = win * np.int32(none)
+            here |= gone
+            left |= gone
+            right |= gone
+            pair[0] = pair[-1] = none
+        won = taken[at]
+        place, kind = at[won], kind[won]
+        used = np.bincount(kind, minlength=len(run))
         good = used > 2
         if not good.any():
             break
-        keep = good[kind[place]]
-        place, which = place[keep], (np.cumsum(good) - 1)[kind[place[keep]]]
-        kinds = run[first[good]]
+        keep = good[kind]
+        place, which = place[keep], (np.cumsum(good) - 1)[kind[keep]]
+        kinds = run[good]
         pairs = np.stack([kinds >> 32, kinds & 0xFFFFFFFF], axis=1)
         rules.append(pairs)
         both = np.where(pairs >= BASE, size[np.maximum(pairs - BASE, 0)] if made else 1, 1)
@@ -90,12 +122,21 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[n
         seq[place] = BASE + made + which
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
+        # a pair that is frequent in the next round holds a new symbol or was so in this one
+        near = np.zeros(len(seq), bool)
+        near[at] = True
+        near[place] = True
+        near = near[stay]
         seq = seq[stay]
+        fresh = seq >= BASE + made
+        near[:-1] |= fresh[1:]
+        near[-1] = False
+        at = np.flatnonzero(near)
         made += len(kinds)
         size = np.concatenate(lengths)
         if before - len(seq) < before // 200:
             break
-    return seq, np.concatenate(rules), np.concatenate(lengths)
+    return seq.astype(np.int64), np.concatenate(rules), np.concatenate(lengths)
 
 
 def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -152,7 +193,10 @@ class Shard:
         return cls(keys, nulls, ends, pairs.reshape(-1, 2).astype(np.int64), lengths.astype(np.int64), raw.view("<u4")[:, 0].astype(np.int64), before)
 
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules)
+        """All ids: every rule is expanded once, then the symbols' expansions follow each other."""
+        pool = np.concatenate([np.arange(BASE), expand(BASE + np.arange(len(self.rules)), self.rules)])
+        wide = np.concatenate([np.ones(BASE, np.int64), self.lengths])
+        return tree_bpe.gathered(pool, (np.cumsum(wide) - wide)[self.seq], wide[self.seq])
 
     def document(self, i: int) -> np.ndarray:
         """The ids of one document: only the symbols over it are expanded."""
@@ -181,7 +225,7 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         part = f"{uuid.uuid4().hex}.rpids"
-        known = tree_bpe.memo(path, "packed")
+        known = tree_bpe.words(path)
         out, keys, held, total, n_docs = None, [], [], 0, 0
 
         def flush():
@@ -192,19 +236,17 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             keys.clear()
             held.clear()
 
-        last = np.array([end], "<u4").tobytes()
         size = 0
         for batch in batches:
-            for piece in chunks.text_slices(batch, "text"):
-                runs = [tree_bpe.runs_of(t or "") for t in piece.column("text").to_pylist()]
-                got = known.of(runs)
-                for k, own in zip(piece.column("key").to_pylist(), runs, strict=True):
+            for piece in chunks.text_slices(batch, "text", SLICE_BYTES):
+                ids, ends = known.encode(piece.column("text"), end)
+                for k, own in zip(piece.column("key").to_pylist(), np.split(ids, ends[:-1]), strict=True):
                     if out is None:
                         out = fs.open_output_stream(f"{base}/.{part}", compression=None)
                         out.write(MAGIC)
-                    held.append(np.frombuffer(b"".join([*map(got.__getitem__, own), last]), "<u4"))
+                    held.append(own)
                     keys.append(k)
-                    size += len(held[-1])
+                    size += len(own)
                     if size >= SHARD_IDS:
                         flush()
                         size = 0

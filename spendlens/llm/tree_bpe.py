@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ PLAIN = re.compile("[!-~\xa1-\xff]+")
 LEAF = 128
 #: Runs whose ids and decoded text a worker remembers at least, twice as many at most; about 250 bytes each.
 RUNS = 250_000
+#: Runs, and pieces, whose ids a worker remembers in columns at most; about 50 bytes each.
+WORDS = 1 << 19
+#: Slices gathered at once.
+BLOCK = 1 << 16
+#: Pieces in one text for the library.
+JOINED = 256
 #: Tokens on either side in the first window.
 WINDOW = 4
 
@@ -105,8 +112,23 @@ class Coder:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mark = self.tok.model.end_of_word_suffix or ""
+        self.merger, self.last = chunks.kept(f"merger {path}", lambda: self.merging(path))
         self.memo = chunks.Memo(self.library)
 
+    def merging(self, path: str) -> tuple:
+        """The tokenizer without normal form and pattern, which pieces are through with, and which ids end a piece."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        made = Tokenizer.from_file(path)
+        made.no_truncation()
+        made.no_padding()
+        made.normalizer = None
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = made.get_vocab()
+        last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        last[[i for t, i in vocabulary.items() if self.mark and t.endswith(self.mark)]] = True
+        return made, last
+
     def symbols(self, piece: str) -> list[Token]:
         """Tokens of one merged piece with the symbols each of them spans."""
         return [(t.id, len(t.value.removesuffix(self.mark))) for t in self.tok.model.tokenize(piece)]
@@ -142,6 +164,16 @@ class Coder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces of :meth:`pieces` one after the other, number for each piece): as from ``library``, but many
+        pieces in one text, told apart by the ids that end a piece."""
+        texts = [" ".join(pieces[i:i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids = np.concatenate([np.empty(0, "<u4"), *(np.array(e.ids, "<u4") for e in self.merger.encode_batch_fast(texts, add_special_tokens=False))])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):  # a piece with signs that the vocabulary lacks at its end
+            return joined(self.library(pieces))
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, runs: list[str]) -> list[list[int]]:
         """Ids of each run."""
         return [np.frombuffer(b, "<u4").tolist() for b in self.packed(runs)]
@@ -164,6 +196,102 @@ def memo(path: str, what: str, least: int = chunks.KEPT) -> chunks.Memo:
     return chunks.kept(f"{what} {path}", lambda: chunks.Memo(getattr(Coder(path), what), least))
 
 
+def gathered(pool: np.ndarray, start: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The slices of ``pool`` that begin at ``start`` and are ``wide`` long, one after the other."""
+    to = np.cumsum(wide)
+    out = np.empty(to[-1] if len(to) else 0, pool.dtype)
+    for i in range(0, len(to), BLOCK):  # the places of some slices at once
+        own, low = wide[i:i + BLOCK], to[i] - wide[i]
+        end = to[min(i + BLOCK, len(to)) - 1]
+        out[low:end] = pool[np.repeat(start[i:i + BLOCK] - (to[i:i + BLOCK] - own), own) + np.arange(low, end)]
+    return out
+
+
+def joined(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids one after the other, and their number for each."""
+    return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+
+
+class Memory:
+    """Ids of distinct strings, looked up in columns and encoded if not met before."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = WORDS):
+        """encode: (ids, number for each) of strings; most: how many are remembered; then the half not met for longest goes."""
+        self.encode, self.most, self.clock = encode, most, 0
+        self.words, self.ids = pa.array([], pa.string()), np.empty(0, "<u4")
+        self.start, self.wide, self.met = (np.empty(0, np.int64) for _ in range(3))
+
+    def of(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, number): the ids of a string stand from its start."""
+        self.clock += 1
+        place = pc.fill_null(pc.index_in(strings, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = place < 0
+        self.met[place[~new]] = self.clock
+        fresh = strings.filter(pa.array(new))
+        added, wide = self.encode(fresh)
+        ids = np.concatenate([self.ids, added])
+        start = np.concatenate([self.start, len(self.ids) + np.cumsum(wide) - wide])
+        wide = np.concatenate([self.wide, wide])
+        place[new] = len(self.words) + np.arange(len(fresh))
+        short = pc.less_equal(pc.binary_length(fresh), chunks.LONGEST).to_numpy(zero_copy_only=False)
+        kept = np.concatenate([np.arange(len(self.words)), len(self.words) + np.flatnonzero(short)])
+        self.words = pa.concat_arrays([self.words, fresh.filter(pa.array(short))])
+        met = np.concatenate([self.met, np.full(int(short.sum()), self.clock)])
+        if len(kept) > self.most:
+            half = np.sort(np.argsort(-met, kind="stable")[: self.most // 2])
+            kept, met, self.words = kept[half], met[half], self.words.take(pa.array(half))
+        self.met, self.wide = met, wide[kept]
+        if len(kept) == len(start):
+            self.ids, self.start = ids, start
+        else:
+            self.ids, self.start = gathered(ids, start[kept], self.wide), np.cumsum(self.wide) - self.wide
+        return ids, start[place], wide[place]
+
+
+class Words:
+    """Ids of whole columns of texts: each distinct run, and each distinct piece of new runs, is looked up once."""
+
+    def __init__(self, coder: Coder, most: int = WORDS):
+        self.coder = coder
+        self.runs, self.pieces = Memory(self.new_runs, most), Memory(lambda new: coder.merged(new.to_pylist()), most)
+
+    def new_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number for each): as ``Coder.packed``, with the pieces of a column at once."""
+        plain = pc.and_not(pc.and_(pc.match_substring_regex(runs, f"^(?:{PLAIN.pattern})$"), pc.less_equal(pc.utf8_length(runs), self.coder.leaf)),
+                           pc.match_substring(runs, "<|"))
+        lists = pc.ascii_split_whitespace(pc.ascii_ltrim_whitespace(
+            pc.replace_substring_regex(pc.utf8_lower(runs.filter(plain)), f"({PIECES.pattern})", r" \1")))
+        pieces = lists.flatten().dictionary_encode()
+        ids, start, wide = self.pieces.of(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        ids, wide = gathered(ids, start[which], wide[which]), wide[which]
+        to = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+        easy = plain.to_numpy(zero_copy_only=False)
+        if easy.all():
+            return ids, np.diff(to)
+        rest, own = joined(self.coder.packed(runs.filter(pc.invert(plain)).to_pylist()))
+        number, begin = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
+        number[easy], begin[easy] = np.diff(to), to[:-1]
+        number[~easy], begin[~easy] = own, len(ids) + np.cumsum(own) - own
+        return gathered(np.concatenate([ids, rest]), begin, number), number
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by ``end``; where each text ends)."""
+        # ASCII blanks only: other white space stays in its run, which the library cuts
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        runs = lists.flatten().dictionary_encode()
+        ids, start, wide = self.runs.of(runs.dictionary)
+        closed = np.cumsum(lists.value_lengths().to_numpy())
+        which = np.insert(runs.indices.to_numpy(), closed, len(wide))
+        start, wide = np.append(start, len(ids))[which], np.append(wide, 1)[which]
+        return gathered(np.append(ids, np.uint32(end)).astype("<u4"), start, wide), np.cumsum(wide)[closed + np.arange(len(closed))]
+
+
+def words(path: str) -> Words:
+    """The worker's ids of runs."""
+    return chunks.kept(f"words {path}", lambda: Words(Coder(path)))
+
+
 def runs_of(text: str) -> list[str]:
     """The text cut at white space. The characters 1C to 1F, which Python takes for such, are not."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):

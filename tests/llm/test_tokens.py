@@ -109,3 +109,51 @@ def test_repair_numbers_its_rules_by_pair():
     assert (np.diff(rules[:, 0] << 32 | rules[:, 1]) > 0).all() and (lengths == 2).all()
     assert (np.bincount(seq[seq >= repair_ids.BASE] - repair_ids.BASE, minlength=len(rules)) > 2).all()
     assert (repair_ids.expand(seq, rules) == ids).all()
+
+
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_words_in_columns_equal_the_library(most):
+    import pyarrow as pa
+
+    words, some = tree_bpe.Words(tree_bpe.Coder(WORD), most), [*texts(6), None, "a\x0bb\x0cc　d\x85e f", "x" * 300, "I'll IT'S o''d 'Re!'s 1½² <a|b> <|x ÀÿªºµÞ×"]
+    tok = chunks.tokenizer(WORD)
+    expected = [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in some]
+    for _ in range(2):
+        for i in range(0, len(some), 60):
+            ids, ends = words.encode(pa.array(some[i:i + 60]), 2)
+            assert [d.tolist() for d in np.split(ids, ends[:-1])] == expected[i:i + 60]
+            assert all(len(m.words) <= most and len(m.ids) == m.wide.sum() for m in (words.runs, words.pieces))
+    assert max(map(len, words.runs.words.to_pylist())) <= chunks.LONGEST
+
+
+def test_known_words_and_whole_pieces_reach_no_library_call():
+    """New pieces go to the library many in a text, known runs not at all."""
+    import pyarrow as pa
+
+    coder, asked = tree_bpe.Coder(WORD), []
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, some, **more):
+            asked.extend(some)
+            return self.tok.encode_batch_fast(some, **more)
+
+    coder.merger, coder.tok = Counting(coder.merger), Counting(coder.tok)
+    words = tree_bpe.Words(coder)
+    text = pa.array([" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiouéß" for c in "xyz,.")])
+    first, _ = words.encode(text, 2)
+    assert 0 < len(asked) <= 3
+    again, _ = words.encode(text, 2)
+    assert len(asked) <= 3 and np.array_equal(first, again)
+
+
+def test_repair_looks_only_where_a_pair_can_be_frequent(monkeypatch):
+    rng, looked, own = np.random.default_rng(3), [], repair_ids.frequent
+    ids = rng.integers(0, 3000, (200, 12))[rng.integers(0, 200, 5000)].ravel()
+    monkeypatch.setattr(repair_ids, "frequent", lambda seq, at, least: (looked.append(len(at)), own(seq, at, least))[1])
+    few = repair_ids.repair(ids)
+    monkeypatch.setattr(repair_ids, "frequent", lambda seq, at, least: own(seq, np.arange(len(seq) - 1), least))
+    assert all(np.array_equal(a, b) for a, b in zip(few, repair_ids.repair(ids), strict=True))
+    assert len(looked) > 3 and looked[-1] < looked[0] / 10
