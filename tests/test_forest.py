@@ -61,3 +61,18 @@ def test_insufficient_history_and_not_ready(spark):
 def test_path_length_constants():
     assert forest.avg_path_length(1) == 0.0 and forest.avg_path_length(2) == 1.0
     assert abs(forest.avg_path_length(256) - 10.244770920116851) < 1e-9
+
+
+def test_detection_shuffles_no_features(spark):
+    from spendlens.operators.expanding import FEATURE_NAMES
+    rows = [(f"t{u}-{i}", u, 10.0 + i, "food", f"m{i % 3}", i, 5.0, i, 6.0, *[float(i)] * len(FEATURE_NAMES), 0.5 - (i == 11)) for u in (1, 2) for i in range(12)]
+    names = ["transaction_id", "user_id", "amount", "category", "merchant", "cat_n", "cat_mean", "mer_n", "mer_mean", *FEATURE_NAMES, "score"]
+    scored = det.stored(spark.createDataFrame(rows, names), "scored")
+    out = det.detect(scored, forest.ForestModel(FEATURE_NAMES, [0.0] * 6, [1.0] * 6, None, 8), scored=scored)
+    assert sorted((r.transaction_id, r.reason_code is not None, r.anomaly_score) for r in out.collect()) == sorted(
+        (f"t{u}-{i}", i == 11, float(i == 11)) for u in (1, 2) for i in range(12))
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    columns = node.children().head().output().mkString(",")   # of the rows that meet their users' statistics
+    assert "decision" in columns and "cat_mean" not in columns and "merchant" not in columns
